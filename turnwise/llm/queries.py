@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import abuse, event_runs, nearest_time, plain_text, speaker_turns
+from turnwise.llm import abuse, event_runs, leaks, nearest_time, plain_text, speaker_turns
 from turnwise.sources.tables import scratch, table
 
 
@@ -29,6 +29,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns.speaker_turns(table(spark, sf_dir, "asr_segments")).select("rec_id", "speaker", "first_seg_idx", "last_seg_idx").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.abuse_scores(table(spark, sf_dir, "documents")).where("abusive").select("doc_id").distinct()
 
@@ -41,7 +49,7 @@ def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p4_found, p5_found, p9_found, p9_scores, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p4_found, p5_found, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates)}
 
 #: The segments of asr_segments with both bounds and a known speaker, one row each.
 _ASR = """
