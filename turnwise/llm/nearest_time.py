@@ -6,7 +6,8 @@ the watermark has passed its time by the tolerance, when no better right row can
 row can reach any more are evicted.  At the end of the input a last row beyond all times lets the rest time out.
 
 An entity's time axis is cut into stretches with their own state, so that a recording without end is spread over
-tasks; a right row within the tolerance of a cut goes to both sides.
+tasks; a right row within the tolerance of a cut goes to both sides.  Some neighbouring entities share one state row,
+each with its own buffers and watermark: a call for every speaker of every recording would cost more than its work.
 
 Defined results: rows without entity, id or time take no part; a left row without a right row within the tolerance
 gives no row; on equal distance the earlier right row wins, then the smaller id; repeated rows count once; one right
@@ -33,7 +34,10 @@ STRETCH_MS = 1 << 22
 END = -(1 << 62)
 #: Its time; event time, which only drives the timeouts, stays below it.
 END_MS = 9_000_000_000_000
-STATE = "lt array<bigint>, li array<bigint>, rt array<bigint>, ri array<bigint>, seen bigint"
+#: Values of an entity's first column that share a state row.
+BUNDLE = 8
+#: Matrices as flat arrays: waiting left and reachable right rows (entity, time, id), and the latest time of each entity.
+STATE = "left array<bigint>, right array<bigint>, seen array<bigint>"
 
 
 def nearest(lt: np.ndarray, rt: np.ndarray, ri: np.ndarray, tolerance: int) -> np.ndarray:
@@ -50,43 +54,63 @@ def nearest(lt: np.ndarray, rt: np.ndarray, ri: np.ndarray, tolerance: int) -> n
     return np.where(np.minimum(d_before, d_after) <= tolerance, best, -1)
 
 
-def joiner(tolerance: int, lateness: int):
-    """The state function of one entity's stretch."""
+def _by_entity(rows: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entities (first ``wide`` columns) and each row's entity."""
+    order = np.lexsort(rows[:, :wide].T[::-1])
+    keys = rows[order, :wide]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+    code = np.empty(len(rows), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return keys[new], code
+
+
+def joiner(wide: int, tolerance: int, lateness: int):
+    """The state function of the entities (``wide`` columns) that share a state row."""
 
     def join(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [np.asarray(x, np.int64) for x in state.get[:4]] if state.exists else [np.empty(0, np.int64)] * 4
-        seen = state.get[4] if state.exists else -(1 << 62)
-        lt, li, rt, ri = held
-        if state.hasTimedOut:
-            due = 1 << 62
-        else:
+        held = state.get if state.exists else ([], [], [])
+        left, right = (np.asarray(x, np.int64).reshape(-1, wide + 2) for x in held[:2])
+        seen = np.asarray(held[2], np.int64).reshape(-1, wide + 1)
+        if not state.hasTimedOut:
             parts = [f for f in frames if len(f)]
-            left = np.concatenate([f["is_left"].to_numpy() for f in parts])
-            at = np.concatenate([f["at_ms"].to_numpy() for f in parts])
-            idx = np.concatenate([f["id"].to_numpy() for f in parts])
-            passed = seen - lateness - tolerance
-            fresh = at >= passed
-            lt, li = np.concatenate([lt, at[left & fresh]]), np.concatenate([li, idx[left & fresh]])
-            rt, ri = np.concatenate([rt, at[~left & fresh]]), np.concatenate([ri, idx[~left & fresh]])
-            seen = max(int(seen), int(at.max()))
-            due = seen - lateness - tolerance
-        r = np.lexsort((ri, rt))
-        rt, ri = rt[r], ri[r]
-        ready = lt < due
-        if ready.any():
-            ids, first = np.unique(li[ready], return_index=True)
-            times = lt[ready][first]
-            at = nearest(times, rt, ri, tolerance)
+            new = np.stack([np.concatenate([f[c].to_numpy() for f in parts]) for c in [*(f"k{i}" for i in range(wide)), "at_ms", "id"]], axis=1)
+            is_left = np.concatenate([f["is_left"].to_numpy() for f in parts])
+            entities, code = _by_entity(np.concatenate([seen, new[:, : wide + 1]]), wide)
+            known, code = code[: len(seen)], code[len(seen) :]
+            last = np.full(len(entities), -(1 << 62))
+            last[known] = seen[:, wide]
+            fresh = new[:, wide] >= last[code] - lateness - tolerance
+            np.maximum.at(last, code, new[:, wide])
+            left, right = np.concatenate([left, new[fresh & is_left]]), np.concatenate([right, new[fresh & ~is_left]])
+            seen = np.concatenate([entities, last[:, None]], axis=1)
+        entities, code = _by_entity(np.concatenate([seen[:, :wide], left[:, :wide], right[:, :wide]]), wide)
+        due = np.full(len(entities), 1 << 62)
+        if not state.hasTimedOut:
+            due[code[: len(seen)]] = seen[:, wide] - lateness - tolerance
+        of_left, of_right = code[len(seen) : len(seen) + len(left)], code[len(seen) + len(left) :]
+        ready = left[:, wide] < due[of_left]
+        if ready.any() and len(right):
+            rows, first = np.unique(np.stack([of_left[ready], left[ready, wide + 1]], axis=1), axis=0, return_index=True)
+            times = left[ready, wide][first]
+            # One axis for all entities, each in a stretch of its own.
+            low = min(int(times.min()), int(right[:, wide].min()))
+            span = max(int(times.max()), int(right[:, wide].max())) - low + 2 * tolerance + 2
+            r = np.lexsort((right[:, wide + 1], right[:, wide], of_right))
+            at = nearest(rows[:, 0] * span + times - low, of_right[r] * span + right[r, wide] - low, right[r, wide + 1], tolerance)
             hit = at >= 0
             if hit.any():
-                yield pd.DataFrame({"left_id": ids[hit], "right_id": ri[at[hit]], "distance_ms": np.abs(rt[at[hit]] - times[hit])}).assign(**{f"k{i}": v for i, v in enumerate(key)})
-        wait = ~ready
+                got = right[r[at[hit]]]
+                out = pd.DataFrame({"left_id": rows[hit, 1], "right_id": got[:, wide + 1], "distance_ms": np.abs(got[:, wide] - times[hit])})
+                yield out.assign(**{f"k{i}": got[:, i] for i in range(wide)})
         if state.hasTimedOut:
             state.remove()
             return
-        reach = rt >= min(due, int(lt[wait].min()) if wait.any() else due) - tolerance
-        state.update((lt[wait].tolist(), li[wait].tolist(), rt[reach].tolist(), ri[reach].tolist(), int(seen)))
-        state.setTimeoutTimestamp(max(min(int(seen) + lateness + tolerance, END_MS - lateness - 1), state.getCurrentWatermarkMs() + 1, 1))
+        left, of_left = left[~ready], of_left[~ready]
+        reach = due.copy()
+        np.minimum.at(reach, of_left, left[:, wide])
+        right = right[right[:, wide] >= reach[of_right] - tolerance]
+        state.update((left.ravel().tolist(), right.ravel().tolist(), seen.ravel().tolist()))
+        state.setTimeoutTimestamp(max(min(int(seen[:, wide].max()) + lateness + tolerance, END_MS - lateness - 1), state.getCurrentWatermarkMs() + 1, 1))
 
     return join
 
@@ -103,11 +127,12 @@ def nearest_stream(rows: DataFrame, entity: list[str], tolerance_ms: int = TOLER
     known = rows.where(F.col("at_ms").isNotNull() & F.col("id").isNotNull())
     for c in entity:
         known = known.where(F.col(c).isNotNull())
-    spread = known.select(*[F.col(c).cast("long").alias(f"k{i}") for i, c in enumerate(entity)], F.explode(stretches).alias(f"k{len(entity)}"), "is_left", "id", "at_ms")
-    keys = [f"k{i}" for i in range(len(entity) + 1)]
+    keys = [f"k{i}" for i in range(len(entity))]
+    spread = known.select(*[F.col(c).cast("long").alias(k) for c, k in zip(entity, keys)], F.explode(stretches).alias("stretch"), "is_left", "id", "at_ms")
+    spread = spread.withColumn("bundle", F.floor(F.col("k0") / F.lit(BUNDLE)).cast("long"))
     timed = spread.withColumn("ts", F.timestamp_millis(F.greatest(F.least(F.col("at_ms"), F.lit(END_MS)), F.lit(0)))).withWatermark("ts", f"{lateness_ms} milliseconds")
     out = "left_id bigint, right_id bigint, distance_ms bigint, " + ", ".join(f"{k} bigint" for k in keys)
-    joined = timed.groupBy(*keys).applyInPandasWithState(joiner(tolerance_ms, lateness_ms), out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    joined = timed.groupBy("bundle", "stretch").applyInPandasWithState(joiner(len(keys), tolerance_ms, lateness_ms), out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(entity)], "left_id", "right_id", "distance_ms")
 
 
