@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import abuse, event_runs, leaks, nearest_time, personal_data, plain_text, speaker_turns
+from turnwise.llm import abuse, byte_pairs, event_runs, leaks, nearest_time, personal_data, plain_text, speaker_turns
 from turnwise.sources.tables import scratch, table
 
 
@@ -37,6 +37,10 @@ def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.masked_segments(table(spark, sf_dir, "asr_segments"), table(spark, sf_dir, "entity_catalog"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.token_ids(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
 
@@ -57,7 +61,7 @@ def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p4_found, p5_found, p6_found, p6_masked, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p4_found, p5_found, p6_found, p6_masked, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates)}
 
 #: The segments of asr_segments with both bounds and a known speaker, one row each.
 _ASR = """
