@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ ITEM_BLOCK = 2_000
 #: Words in more than this share of the passages carry no weight.
 COMMON = 0.05
 #: The least cosine of a candidate passage with an item's window.
-COSINE = 0.35
+COSINE = 0.45
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"[\[({]\s*\d+\s*[\])}]")
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]{1,6});")
@@ -83,43 +83,42 @@ class Encoder:
     def forget(self) -> None:
         # Below 0: no word (-1), or several words, by their place in ``several``.
         self.seen: dict[str, int] = {}
-        self.several: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int32)]
+        self.several: list[list[int]] = [[], []]
 
     def number(self, word: str) -> int:
         found = self.vocabulary.get(word, 0)
         return found or (0 if word.isascii() else self.vocabulary.get(folded(word), 0))
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.seen) > 2_000_000:
-            self.forget()
         for token in tokens:
             numbers = [self.number(w) for w in _split(token)]
             if len(numbers) == 1:
                 self.seen[token] = numbers[0]
             elif numbers:
                 self.seen[token] = -len(self.several)
-                self.several.append(np.array(numbers, np.int32))
+                self.several.append(numbers)
             else:
                 self.seen[token] = -1
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        tokens = _plain(text).split()
-        try:
-            ids = np.fromiter(map(self.seen.__getitem__, tokens), np.int32, len(tokens))
-        except KeyError:
-            self.learn(set(tokens))
-            ids = np.fromiter(map(self.seen.__getitem__, tokens), np.int32, len(tokens))
-        ids = ids[ids != -1]
-        many = np.flatnonzero(ids < 0)
-        if len(many):
-            parts, last = [], 0
-            for i in many.tolist():
-                parts += [ids[last:i], self.several[-ids[i]]]
-                last = i + 1
-            ids = np.concatenate([*parts, ids[last:]])
-        return ids
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' words, and where each text's begin, with the end."""
+        tokens = [_plain(t).split() if t else [] for t in texts]
+        first = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+        if len(self.seen) > 2_000_000:
+            self.forget()
+        self.learn(set(chain.from_iterable(tokens)).difference(self.seen))
+        ids = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(tokens)), np.int64, int(first[-1]))
+        counts = (ids >= 0).astype(np.int64)
+        many = np.flatnonzero(ids < -1)
+        sizes = np.array([len(x) for x in self.several])
+        counts[many] = sizes[-ids[many]]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.repeat(ids, counts)
+        values = np.array(list(chain.from_iterable(self.several)), np.int64)
+        size, begin = counts[many], (np.cumsum(sizes) - sizes)[-ids[many]]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(ends[many], size) + step] = values[np.repeat(begin, size) + step]
+        return flat.astype(np.int32), ends[first]
 
 
 def passages(ids: list[np.ndarray], stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,11 +165,11 @@ def encoded(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
-        for batch in batches:
-            ids = [encode(t) for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
+                flat, offsets = encode(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
     slim = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return written(slim.mapInArrow(run, "doc_id bigint, ids array<int>"), "words")
@@ -262,18 +261,21 @@ class Items:
         self.triples = joined[:, np.argsort(joined[0], kind="stable")]
         self.size = size
 
-    def windows(self, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Normalized latent vectors of the windows, their items, and the fewest weighted words of any LEAST words."""
-        vectors, owner, fewest = [], [], LEAST
+    def windows(self, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Normalized latent vectors of the windows, their items, and the fewest distinct weighted words of any LEAST words
+        of each; ordered by these.  Windows overlap so that any LEAST successive words lie within one."""
+        vectors, owner, fewest = [], [], []
         for i, t in enumerate(self.texts):
             weighted = idf[t] > 0
-            fewest = min(fewest, min(len(set(t[k : k + LEAST][weighted[k : k + LEAST]])) for k in range(len(t) - LEAST + 1)))
-            for k in range(0, max(1, len(t) - LEAST + 4), 4):
-                part = t[k : k + LEAST + 4]
+            distinct = [len(set(t[k : k + LEAST][weighted[k : k + LEAST]].tolist())) for k in range(len(t) - LEAST + 1)]
+            for k in range(0, max(1, len(t) - LEAST + 1), LEAST):
+                part = t[k : k + 2 * LEAST]
                 vectors.append((idf[part][:, None] * basis[part]).sum(axis=0))
                 owner.append(i)
+                fewest.append(min(distinct[k : k + LEAST + 1]))
         v = np.array(vectors, np.float32)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array(owner), fewest
+        order = np.argsort(fewest, kind="stable")
+        return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))[order], np.array(owner)[order], np.array(fewest)[order]
 
 
 def blocks_of(hits: np.ndarray) -> list[tuple[int, int, int]]:
@@ -324,7 +326,6 @@ def longest_chain(hits: np.ndarray) -> tuple[int, int, int]:
 def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
     """The search over encoded documents: doc_id, item_id, n_words, cosine, answer_near."""
     vectors, owner, fewest = items.windows(idf, basis)
-    need = max(1, fewest - 3)
     keys, index = items.triples[0], items.triples[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,20 +334,27 @@ def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
             weight = count * idf[word]
             some = weight > 0
             passage, word, weight = passage[some], word[some], weight[some].astype(np.float32)
-            # A passage with a leak holds most of the weighted words of some window.
-            held = np.bincount(passage, minlength=where.shape[1])
-            keep = held[passage] >= need
-            z, numbers = latent(passage[keep], word[keep], weight[keep], basis)
+            z, numbers = latent(passage, word, weight, basis)
             if not len(numbers):
                 continue
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+            # LEAST words with an edit or two hold all but two of a window's words: passages that hold fewer weighted
+            # words than that are not compared with the window.
+            held = np.bincount(passage, minlength=where.shape[1])[numbers]
             candidates: dict[int, dict[int, float]] = {}
-            for k in range(0, len(z), 2048):
-                near = z[k : k + 2048] @ vectors.T
-                a, b = np.nonzero(near >= COSINE)
-                for doc, item, value in zip(where[0][numbers[k + a]].tolist(), owner[b].tolist(), near[a, b].tolist()):
-                    of = candidates.setdefault(doc, {})
-                    of[item] = max(of.get(item, 0.0), value)
+            for h in np.unique(held):
+                some = np.flatnonzero(held == h)
+                upto = int(np.searchsorted(fewest, h + 2, "right"))
+                for k in range(0, len(some), 1024) if upto else ():
+                    rows = some[k : k + 1024]
+                    near = z[rows] @ vectors[:upto].T
+                    close = np.flatnonzero(near.max(axis=1) >= COSINE)
+                    near = near[close]
+                    a, b = np.nonzero(near >= COSINE)
+                    for doc, item, value in zip(where[0][numbers[rows[close[a]]]].tolist(), owner[b].tolist(), near[a, b].tolist()):
+                        of = candidates.setdefault(doc, {})
+                        if of.get(item, 0.0) < value:
+                            of[item] = value
             rows = []
             for doc, of in candidates.items():
                 t = ids[doc].astype(np.int64)
@@ -358,8 +366,9 @@ def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
                     continue
                 at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 of_item, p, q = index[0][at], index[1][at], np.repeat(ok, many)
-                for item in np.unique(of_item):
-                    if item not in of:
+                for item, n_hits in zip(*np.unique(of_item, return_counts=True)):
+                    # LEAST words with one edit hold six equal triples at least.
+                    if n_hits < LEAST // 2 or item not in of:
                         continue
                     mine = of_item == item
                     n, begin, end = longest_chain(np.stack([p[mine], q[mine]]))
