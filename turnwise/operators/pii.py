@@ -158,14 +158,12 @@ def usable(spans: DataFrame, blocked: Iterable[str] = (), allowed: Iterable[str]
     capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
     numeric = F.col("entity_type").isin("PHONE", "EMAIL", "IBAN", "SIREN_SIRET", "DATE", "URL")
     small = s == low
-    bad = (
-        low.isin(*blocked) if blocked else F.lit(False)
-    )
+    bad = low.isin(*blocked) if blocked else F.lit(False)
     noise = ((F.size(words) > 1) & (capitals == 0)) | ((F.col("entity_type") == "MISC") & small) | (F.length(s) <= 2) | (small & (F.length(s) <= 3)) | (F.length(F.regexp_replace(s, r"\P{L}", "")) <= 1)
     free = low.isin(*allowed) if allowed else F.lit(False)
-    line = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("end")), "\n", -1)
-    label = F.regexp_extract(line, r"^(\s*SPEAKER_\d+\s*:?)", 1)
-    in_label = (F.length(label) > 0) & (F.length(line) - (F.col("end") - F.col("start")) < F.length(label))
+    inside = F.length(F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("start")), "\n", -1))
+    line = F.substring_index(F.substring(F.col("text"), F.col("start") - inside + 1, F.length("text")), "\n", 1)
+    in_label = inside < F.length(F.regexp_extract(line, r"^(\s*SPEAKER_\d+\s*:)", 1))
     return spans.where((F.length(s) >= 2) & ~in_label & (numeric | (~bad & (free | ~noise))))
 
 

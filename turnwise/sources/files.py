@@ -22,7 +22,7 @@ def audio_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = AU
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """A run's files but its manifest: path, name, category (the first part of the path below the folder), size, mtime.
 
-    The files' content is not read.
+    The files' content is not read; empty files are not listed (Spark's scan leaves them out).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
     below = F.regexp_replace("path", "^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "")
