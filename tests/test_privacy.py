@@ -166,3 +166,29 @@ def test_live(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.n for r in spark.table("live").collect()) == [1, 2]
+
+
+def test_catalog_scan():
+    scan = pii.catalog_scan([("Ana", "PER"), ("ana na", "X"), ("rue", "LOC")], True, 1.0, "domain")
+    assert scan("Ana, anana ANA na Rue la rue") == [(0, 3, "PER", 1.0, "domain"), (11, 14, "PER", 1.0, "domain"), (11, 17, "X", 1.0, "domain"), (18, 21, "LOC", 1.0, "domain")]
+    loose = pii.catalog_scan([("ana", "PER")], False, 0.95, "catalog", as_person=True)
+    assert [s[:3] for s in loose("anana ANA")] == [(0, 3, "PERSON"), (6, 9, "PERSON")]
+    assert pii.catalog_scan([], False, 1.0, "x")("abc") == []
+
+
+def test_tolerant_restore():
+    assert entities.restored_tolerantly("ELISE et élise, Elisette", {"Élise": "\\1 Zoé"}) == "\\1 Zoé et \\1 Zoé, Elisette"
+    assert entities.restored_tolerantly(None, {"a": "b"}) is None and entities.restored_tolerantly("x", {}) == "x"
+
+
+def test_titled_end_and_sweep():
+    text = "Conseil NovaLyra de Brest et plus"
+    assert text[: text_clean.titled_end(text, 7)] == "Conseil NovaLyra de Brest"
+    ask = lambda window: [(m.start(), m.end(), "PER") for m in __import__("re").finditer("Zoé", window)]
+    body = "a Zoé b " * 30
+    assert len(text_clean.swept(body, [(0, 100), (100, 240)], ask)[1]) == 30
+
+    def fails(window):
+        raise OSError
+
+    assert text_clean.swept(body, [(0, 100)], fails) == (body, [])

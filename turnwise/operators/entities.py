@@ -173,3 +173,30 @@ def restored_in_order(text: Column, pairs: Column) -> Column:
     """``text`` with pairs (key, value) of an array replaced one after another, longest key first."""
     ordered = F.array_sort(pairs, lambda a, b: F.when(F.length(a["key"]) > F.length(b["key"]), -1).when(F.length(a["key"]) < F.length(b["key"]), 1).otherwise(0))
     return F.aggregate(ordered, text, lambda t, p: F.replace(t, p["key"], p["value"]))
+
+
+_ACCENTED = {"a": "aàáâãä", "c": "cç", "e": "eèéêë", "i": "iìíîï", "n": "nñ", "o": "oòóôõö", "u": "uùúûü", "y": "yýÿ"}
+
+
+def tolerant_pattern(key: str) -> str:
+    """A one-word key in any case and with any accents, at word boundaries."""
+    return r"(?<!\w)" + "".join(f"[{_ACCENTED[c]}]" if c in _ACCENTED else re.escape(c) for c in plain(key.lower())) + r"(?!\w)"
+
+
+def restored_tolerantly(text: str | None, table: dict[str, str]) -> str | None:
+    """A second pass for one-word keys of letters that came back in another case or without accents.
+
+    Replacements are literal, and only whole words are replaced.
+    """
+    if not text:
+        return text
+    names = {plain(k.lower()): v for k, v in sorted(table.items()) if len(k) >= 3 and k.isalpha()}
+    if not names:
+        return text
+    pattern = re.compile("|".join(tolerant_pattern(k) for k in sorted(names, key=lambda k: (-len(k), k))), re.I)
+    return pattern.sub(lambda m: names.get(plain(m.group().lower()), m.group()), text)
+
+
+def mapping_rows(mapping: Column) -> Column:
+    """A mapping tag -> struct as an array of (tag, entity), in the order of tags."""
+    return F.array_sort(F.transform(F.map_entries(mapping), lambda e: F.struct(e["key"].alias("tag"), e["value"].alias("entity"))))

@@ -50,19 +50,53 @@ def structured_scan(labels: Iterable[str] = ("EMAIL", "PHONE", "IBAN", "SIREN_SI
     return lambda text: [(*m.span(), label, 1.0, "regex") for label, p in patterns for m in p.finditer(text)]
 
 
-def catalog_scan(entries: Iterable[tuple[str, str]], whole_words: bool, score: float, source: str, as_person: bool = False) -> Scan:
-    """All occurrences of catalog entries, in any case; one pass for each first letter group would change nothing but speed."""
-    known = [(re.compile((r"\b%s\b" if whole_words else "%s") % re.escape(p), re.I), p.lower(), "PERSON" if as_person else label) for p, label in entries if p]
+class CatalogScan:
+    """All occurrences of catalog entries, in any case; those of one entry don't overlap.
 
-    def scan(text: str) -> list[tuple[int, int, str, float, str]]:
-        low = text.lower()
-        out = []
-        for pattern, lower, label in known:
-            if lower in low:  # a plain search first: most entries don't occur
-                out += [(*m.span(), label, score, source) for m in pattern.finditer(text) if not (whole_words and common_noun(text, *m.span()))]
+    One pass over the text by an Aho-Corasick automaton, built once in each worker, so that the time does not grow with
+    the catalog; without that library each entry is searched by itself.
+    """
+
+    def __init__(self, entries: Iterable[tuple[str, str]], whole_words: bool, score: float, source: str, as_person: bool = False) -> None:
+        self.entries = [(p, "PERSON" if as_person else label) for p, label in entries if p]
+        self.whole_words, self.score, self.source = whole_words, score, source
+        self.automaton = None
+
+    def hits(self, low: str) -> Iterable[tuple[int, int]]:
+        """(place, entry) in the order of entries, then places; occurrences may overlap."""
+        try:
+            import ahocorasick
+        except ImportError:
+            return [(m.start(), k) for k, (p, _) in enumerate(self.entries) if p.lower() in low for m in re.finditer(f"(?={re.escape(p.lower())})", low)]
+        if self.automaton is None:
+            table: dict[str, list[int]] = {}
+            for k, (p, _) in enumerate(self.entries):
+                table.setdefault(p.lower(), []).append(k)
+            self.automaton = ahocorasick.Automaton()
+            for word, numbers in table.items():
+                self.automaton.add_word(word, (len(word), numbers))
+            self.automaton.make_automaton()
+        found = [(k, end - n + 1) for end, (n, numbers) in self.automaton.iter(low) for k in numbers] if self.entries else []
+        return [(at, k) for k, at in sorted(found)]
+
+    def __call__(self, text: str) -> list[tuple[int, int, str, float, str]]:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        out, last, free = [], -1, 0
+        for at, k in self.hits(low):
+            pattern, label = self.entries[k]
+            end = at + len(pattern)
+            if k == last and at < free:
+                continue
+            if self.whole_words:
+                inner = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+                if inner(at - 1) == inner(at) or inner(end - 1) == inner(end) or common_noun(text, at, end):
+                    continue
+            last, free = k, end
+            out.append((at, end, label, self.score, self.source))
         return out
 
-    return scan
+
+catalog_scan = CatalogScan
 
 
 _FOLD = str.maketrans("àâäçéèêëîïôöùûüÿñ", "aaaceeeeiioouuuyn")

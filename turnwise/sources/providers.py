@@ -38,7 +38,7 @@ def provided(df: DataFrame, name: str, factory: Callable[[], Provider], schema:
                 except Exception as e:
                     rows.append({k: v for k, v in row.items()} | {"error": f"{type(e).__name__}: {e}"})
             columns = [c.strip().split(" ")[0] for c in schema.split(",")] + ["error"]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return df.mapInPandas(run, f"{schema}, error string")
 
