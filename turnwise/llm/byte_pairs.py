@@ -1,9 +1,9 @@
 """Problem 7: the whole corpus in the ids of a public byte-level BPE vocabulary.
 
-Texts are split by the vocabulary's pattern; each distinct word is encoded once: higher-order functions fold the ranked
-merges over the array of its bytes, looking ranks up in a literal map.  Words that make up at least ``SHARE`` of all
-words (so at most 1 / SHARE of them) go back to the texts as a literal map from word to ids, all others by a join on
-(document, word).  Decoding concatenates the ids' byte pieces.
+Texts are split by the vocabulary's pattern and distinct words counted.  Higher-order functions fold the ranked merges
+over the array of a word's bytes, looking ranks up in a literal map: once for each of the ``WORDS`` most frequent distinct
+words, whose ids go back to the texts as a literal map of that bounded size, and in place for all others.  Decoding
+concatenates the ids' byte pieces.
 
 The maps are literals of nested arrays, bucketed by hash, so that a lookup takes the same time however large they are.
 A merge changes two ranks only, so long words cost steps, not quadratic lookups.
@@ -29,7 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern that the vocabulary's merges were made with (fixed value); (?U) gives blanks their Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = (1 << 31) - 1
-SHARE = 1 / 20_000
+#: Distinct words whose ids are kept as a map; only speed depends on it.
+WORDS = 30_000
 
 
 @cache
@@ -47,8 +48,7 @@ class Literal:
         keys: list[list[str]] = [[] for _ in range(self.size)]
         values: list[list[object]] = [[] for _ in range(self.size)]
         for key, value in entries.items():
-            at = xxhash.xxh64_intdigest(key.encode(), seed=42) % (1 << 64)
-            at = (at - (1 << 64) if at >= 1 << 63 else at) % self.size
+            at = xxhash.xxh64_intdigest(key.encode(), seed=42) & (self.size - 1)
             keys[at].append(key)
             values[at].append(value)
         # Constants of the plan: the optimizer parses them once.
@@ -57,7 +57,7 @@ class Literal:
 
     def __getitem__(self, key: Column) -> Column:
         """The value of ``key``, null if it has none."""
-        at = F.pmod(F.xxhash64(key), F.lit(self.size)).cast("int") + 1
+        at = F.xxhash64(key).bitwiseAND(F.lit(self.size - 1).cast("bigint")).cast("int") + 1
         place = F.array_position(F.element_at(self.keys, at), key).cast("int") - 1
         return F.get(F.element_at(self.values, at), place)
 
@@ -113,35 +113,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def token_ids(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY, share: float = SHARE) -> DataFrame:
-    """doc_id, ids for each row of ``documents``."""
+def token_ids(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY, words: int = WORDS) -> DataFrame:
+    """doc_id, ids for each row of ``documents``; texts are never shuffled, only their distinct words are."""
     spark = documents.sparkSession
     # The literals would fill explain texts and event logs.
     spark.conf.set("spark.sql.maxPlanStringLength", "10000")
     rank = Literal(ranks(f"{folder}/{vocabulary}"), "int")
-    split = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
+    split = documents.select("doc_id", words_of(F.coalesce("text", F.lit(""))).alias("words"))
     counts = written(split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    spread = counts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    known = written(spread.withColumn("ids", word_ids(F.col("word"), rank)), "word-ids")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = F.col("n") >= F.lit(share * total)
-    frequent = Literal({r["word"]: r["ids"] for r in known.where(often).select("word", "ids").collect()}, "array<int>")  # at most 1 / share rows
-
-    # Ids of frequent words; for the k-th of a document's other words an array of -k.
-    looked = split.select("doc_id", F.xxhash64("text").alias("_h"), "words", F.transform("words", lambda w: frequent[w]).alias("found"))
-    rare = F.array_distinct(F.transform(F.filter(F.arrays_zip("words", "found"), lambda x: x["found"].isNull()), lambda x: x["words"]))
-    looked = looked.withColumn("rare", rare)
-    coded = F.zip_with("words", "found", lambda w, f: F.coalesce(f, F.array(-F.array_position(F.col("rare"), w).cast("int"))))
-    texts = written(looked.select("doc_id", "_h", F.flatten(coded).alias("codes"), "rare"), "codes")
-
-    missing = texts.where(F.size("rare") > 0).select("doc_id", "_h", F.posexplode("rare").alias("k", "word"))
-    filled = missing.join(known.where(~often).select("word", "ids"), "word")
-    tables = filled.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.struct("k", "ids"))).alias("table"))
-    whole = texts.where(F.size("rare") == 0).select("doc_id", F.col("codes").alias("ids"))
-    tables = tables.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_h", "_hash")
-    joined = texts.where(F.size("rare") > 0).join(tables, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")))
-    put = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.element_at(F.col("table"), -c)["ids"])))
-    return whole.unionByName(joined.select("doc_id", put.alias("ids")))
+    often = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    frequent = Literal({r["word"]: r["ids"] for r in often.select("word", word_ids(F.col("word"), rank).alias("ids")).collect()}, "array<int>")
+    return split.select("doc_id", F.flatten(F.transform("words", lambda w: F.coalesce(frequent[w], word_ids(w, rank)))).alias("ids"))
 
 
 def decoded(tokens: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
