@@ -241,6 +241,8 @@ class Finder:
         phone, ident = phone_shape(s), id_shape(s)
         pattern = 1 if phone and not ident else 2 if ident and not phone else -1
         context = 1 if _PHONE_LEFT.search(left) or _PHONE_RIGHT.search(right) else 2 if _ID_FAR.search(left) else -1
+        if any(c.isalpha() for c in s):
+            context = 2 if context == 2 else -1  # no phone number has letters
         keyword = 2 if _ID_LEFT.search(left) else -1
         if keyword == 2:
             context = 2
@@ -314,6 +316,8 @@ class Finder:
         gazetteer = 4 if full and (len(span) > 1 or upper) else 4 if known and (upper or len(span) > 1) else -1
         keyword = 4 if hon else -1
         common = all(p in self.common or m[2].lower() in self.common for p, m in zip(plain, span))
+        if common and len(span) == 1 and span[0][2].isupper():
+            gazetteer = -1  # a common word among capitals
         shape = NONE if common and len(span) == 1 and (not upper or span[0][2].isupper()) else 4 if len(span) > 1 and (known or any(m[5] for m in span)) else -1
         against = NONE if _PLACE_LEFT.search(left) and not context == 4 or (_DETERMINER.search(left) and len(span) == 1 and not upper) else -1
         return (pattern, context, gazetteer, keyword, shape, against)
