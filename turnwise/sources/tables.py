@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data directory; columns are pruned and filters pushed down by the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,12 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local tests) a folder of this machine
-    is made and set.
+    is made, once an application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    root = spark.conf.get("spark.checkpoint.dir", "") or _own.get(spark.sparkContext.applicationId, "")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="turnwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="turnwise-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
