@@ -56,8 +56,8 @@ LEXICON = {
     "bodies": "women woman housewives blondes teens girls ladies neighbours frauen hausfrauen blondinen mädchen madchen nachbarinnen femmes voisines filles blondes mujeres amas vecinas rubias chicas her him she he elle sie ella tonight nacht soir noche hot camera",
     "undress": "took off begged enleva supplia zog aus quitó quito rogó rogo floor boden suelo suplicó suplico",
     # technical company
-    "technical": "file feile lima light terminal cylinder zylinder cylindre cilindro connector connecteur conector socket prise wire draht fil alambre hilo resin resine harz pump flange process processus proceso job plug screw "
-    "grease nipple naphtha ignition plant coating watchdog parent child mm shaft valve piston operator deburr",
+    "technical": "file feile lima light terminal cylinder zylinder cylindre cilindro connector connecteur conector socket prise wire draht fil alambre hilo cable resin resine harz pump flange process processus proceso job plug screw "
+    "grease nipple naphtha ignition plant coating watchdog parent child shaft valve piston operator deburr",
     # talk about a word
     "quote": "word words term terms mot terme wort begriff palabra término filter list lexicon dictionary moderation example",
 }
@@ -190,7 +190,19 @@ _leads: set[str] = set()
 _TRIM = " \t\n,;:!?()[]{}\"'«»“”„.…/\\"
 _REPEAT = re.compile(r"([a-z])\1{2,}")
 _SPELT = re.compile(r"^[^\W_](?:[.\-_·/ ][^\W_])+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){3,}[^\W\d_](?=[.,;:!?]*(?:\s|$))")
+#: Kinds that count only as they are written.
+_EXACT = frozenset(["technical", "quote"])
+
+
+def _unspaced(m: re.Match[str]) -> str:
+    """A word whose letters stand apart; a first letter that is a word by itself is left alone."""
+    word = "".join(m.group().split())
+    return word if token_kinds(word) or not token_kinds(word[1:]) else f"{word[0]} {word[1:]}"
+
+
+def plain_letters(word: str) -> bool:
+    return all(c.isalpha() or c in "'-" for c in word)
 
 
 def token_kinds(token: str) -> frozenset[str]:
@@ -217,6 +229,8 @@ def token_kinds(token: str) -> frozenset[str]:
                 if not kinds and "-" in plain and word.replace("-", "").isalpha():
                     for part in word.split("-"):
                         kinds = kinds | automaton().kinds_of(part)
+            if kinds and plain != folded(token).strip(_TRIM) or not plain_letters(word):
+                kinds = kinds - _EXACT
         _seen[token] = kinds
         if not LEADING.isdisjoint(kinds):
             _leads.add(token)
@@ -226,17 +240,18 @@ def token_kinds(token: str) -> frozenset[str]:
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
-def sentence_score(tokens: list[str]) -> float:
-    """How abusive a sentence is, from the kinds that meet in it.
+def sentence_score(tokens: list[str], near: list[str]) -> float:
+    """How abusive a sentence is, from the kinds that meet in it; ``near`` are the words right beside the hits.
 
     Insults count when aimed at a person; groups when called something or sent away; sexual words when people, bareness
-    or undressing meet.  Technical company and talk about words lower the score.
+    or undressing meet.  Technical company and talk about words, right beside them, lower the score.
     """
     has: dict[str, int] = {}
     for token in tokens:
         for kind in token_kinds(token):
             has[kind] = has.get(kind, 0) + 1
     n = lambda kind: has.get(kind, 0)
+    beside = lambda kind: sum(kind in token_kinds(t) for t in near)
     aimed = n("you") + n("crowd") + n("writer")
     insult = 0.0
     if n("slur"):
@@ -255,7 +270,7 @@ def sentence_score(tokens: list[str]) -> float:
         met = min(2, n("sexual")) + 2 * min(1, n("porn")) + min(2, n("bare")) + min(2, n("bodies") + n("slur")) + min(2, n("undress"))
         sexual = 0.18 * met if n("bodies") + n("slur") + n("porn") or n("bare") + n("undress") >= 2 else 0.0
     worst = max(insult, hate, sexual)
-    return max(0.0, min(1.0, worst - 0.3 * min(2, n("technical")) * (hate < 0.5) - 0.2 * min(2, n("quote"))))
+    return max(0.0, min(1.0, worst - 0.3 * min(2, beside("technical")) * (hate < 0.5) - 0.2 * min(2, beside("quote"))))
 
 
 def document_score(text: str | None) -> tuple[float, str]:
@@ -266,6 +281,11 @@ def document_score(text: str | None) -> tuple[float, str]:
     tokens = set(lower.split())
     for token in tokens.difference(_seen):
         token_kinds(token)
+    if sum(len(t) == 1 for t in tokens) >= 4:
+        lower = _SPACED.sub(_unspaced, lower)
+        tokens = set(lower.split())
+        for token in tokens.difference(_seen):
+            token_kinds(token)
     leads = tokens.intersection(_leads)
     if not leads:
         return 0.0, ""
@@ -274,7 +294,7 @@ def document_score(text: str | None) -> tuple[float, str]:
         tokens = sentence.split()
         if len(tokens) < 2 or leads.isdisjoint(tokens):
             continue
-        tokens = _SPACED.sub(lambda m: m.group().replace(" ", ""), folded(" ".join(tokens))).split()
+        tokens = folded(" ".join(tokens)).split()
         kinds = [token_kinds(t) for t in tokens]
         at = [i for i, k in enumerate(kinds) if k and not LEADING.isdisjoint(k)]
         # Context windows around the hits: a long sentence without stops isn't one context.
@@ -283,8 +303,8 @@ def document_score(text: str | None) -> tuple[float, str]:
             j = i
             while j + 1 < len(at) and at[j + 1] - at[j] <= 6:
                 j += 1
-            window = tokens[max(0, at[i] - 6) : at[j] + 7]
-            score = sentence_score(window)
+            window = tokens[max(0, at[i] - 9) : at[j] + 10]
+            score = sentence_score(window, tokens[max(0, at[i] - 4) : at[j] + 5])
             if score > best:
                 best, where = score, " ".join(window)
             i = j + 1
