@@ -314,3 +314,30 @@ def test_automaton_against_distances():
         word = "".join(word)
         expected = {next(iter(k)) for t, k in terms.items() if word[:1] == t[:1] and distance(word, t) <= made.edits[t]}
         assert made.kinds_of(word) == frozenset(expected) or not expected
+
+
+def test_nearest_by_hand(spark, tmp_path):
+    """Ties, zero length, repeated rows, missing values, a tolerance's edge, a cut of the time axis, both directions."""
+    cut = nearest_time.STRETCH_MS / 1000
+    left = [
+        (1, 1, 10.0, 11.0, "x", "S1"), (1, 2, 20.0, 21.0, None, "SPEAKER_01"), (1, 3, 30.0, 30.0, "", "1"), (1, 4, None, 5.0, "x", "1"), (1, 5, 40.0, 41.0, "x", "?"), (1, 6, cut, cut + 1, "x", "spk1"),
+        (1, 7, 60.0, 50.0, "x", "1"), (1, 1, 10.0, 11.0, "x", "S1"), (2, 1, 10.0, 11.0, "x", "1"), (None, 1, 10.0, 11.0, "x", "1"), (9, 1, 5.0, 6.0, "x", "3"),
+    ]
+    right = [
+        (1, 9, 9.7, 9.9, 1), (1, 4, 10.3, 12.0, 1), (1, 8, 19.9, 20.5, 1), (1, 7, 19.9, 20.4, 1), (1, 3, 20.1, 20.4, 1), (1, 2, 30.301, 31.0, 1), (1, 5, cut - 0.25, cut, 1), (1, 6, 50.1, 50.1, 1), (1, 6, 50.1, 50.1, 1),
+        (2, 1, 10.0, 11.0, 2), (2, 2, 10.1, None, 1), (1, 1, 10.0, 11.0, None), (9, 1, 5.25, 6.0, 3),
+    ]
+    asr(spark, left).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(right, "rec_id bigint, seg_idx bigint, start_s double, end_s double, speaker int").write.parquet(str(tmp_path / "d"))
+    stream = lambda n: nearest_time.table_stream(spark.read.parquet(str(tmp_path / n)), str(tmp_path / n))
+    got = [tuple(r) for r in nearest_time.nearest_diarization(stream("a"), stream("d"), str(tmp_path / "end")).select("rec_id", "asr_seg_idx", "diar_seg_idx", "distance_ms").collect()]
+    assert sorted(got) == [(1, 1, 9, 300), (1, 2, 7, 100), (1, 6, 5, 250), (1, 7, 6, 100), (9, 1, 1, 250)]
+
+
+def test_pairs_by_hand(spark):
+    rows = [(1, 5, 0.0, 1.0, "Oui, oui", "1"), (1, 2, 0.0, 1.0, "Oｕi, oui", "1"), (1, 9, 0.0, 1.0, "Oui,  oui​", "1"), (1, 7, None, None, "Oui, oui", None), (1, 3, 0.0, 1.0, "oui, oui", "1"), (1, 4, 0.0, 1.0, None, "1"), (1, 6, 0.0, 1.0, "​", "1"), (1, 8, 0.0, 1.0, " ", "1"), (2, 1, 0.0, 1.0, "Oui , oui", "1")]
+    got = sorted((r.seg_idx_a, r.seg_idx_b) for r in plain_text.same_reading(asr(spark, rows + rows[:2])).collect())
+    assert got == [(2, 5), (2, 7), (2, 9), (5, 9), (7, 9)]
+    clash = spark.createDataFrame([("ａ", 1, 2)], "text string, _text int, _c0 int")
+    assert tuple(plain_text.with_plain_text(clash, "text").first()) == ("ａ", 1, 2, "a")
+    assert plain_text.same_reading(asr(spark, [])).count() == 0

@@ -81,6 +81,10 @@ runs AS (
 SQL = {
     "p1_found": f"{_RUNS} SELECT rec_id, first_seg_idx, last_seg_idx FROM runs",
     "p1_runs": f"{_RUNS} SELECT rec_id, speaker, first_seg_idx, last_seg_idx, n_events, start_ms, end_ms, duration_ms FROM runs",
+    "p3_found": f"""
+WITH seg AS (SELECT rec_id, seg_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx ORDER BY arrived_at, text) AS n FROM asr_segments WHERE rec_id IS NOT NULL AND seg_idx IS NOT NULL) WHERE n = 1),
+form AS (SELECT rec_id, seg_idx, text, {plain_text.plain_sql("text")} AS p FROM seg WHERE text IS NOT NULL)
+SELECT a.rec_id, a.seg_idx AS seg_idx_a, b.seg_idx AS seg_idx_b FROM form a JOIN form b ON a.rec_id = b.rec_id AND a.p = b.p AND a.seg_idx < b.seg_idx AND a.text <> b.text WHERE a.p <> ''""",
     "p4_found": f"""{_ASR},
 diar AS (
   SELECT DISTINCT rec_id, seg_idx, speaker, CAST(round_even(least(start_s, end_s) * 1000.0, 0) AS BIGINT) AS s
