@@ -51,9 +51,19 @@ class Literal:
             at = xxhash.xxh64_intdigest(key.encode(), seed=42) & (self.size - 1)
             keys[at].append(key)
             values[at].append(value)
-        # Constants of the plan: the optimizer parses them once.
-        self.keys = F.from_json(F.lit(json.dumps(keys)), "array<array<string>>")
-        self.values = F.from_json(F.lit(json.dumps(values)), f"array<array<{kind}>>")
+        # A constant of the plan, which the optimizer parses; it stands in an expression once, bound to a variable.
+        pair = F.struct(F.from_json(F.lit(json.dumps(keys)), "array<array<string>>").alias("keys"), F.from_json(F.lit(json.dumps(values)), f"array<array<{kind}>>").alias("values"))
+        self.column = pair
+
+    def of(self, pair: Column) -> Table:
+        return Table(pair, self.size)
+
+
+class Table:
+    """A literal map as bound to a variable."""
+
+    def __init__(self, pair: Column, size: int) -> None:
+        self.keys, self.values, self.size = pair["keys"], pair["values"], size
 
     def __getitem__(self, key: Column) -> Column:
         """The value of ``key``, null if it has none."""
@@ -72,7 +82,7 @@ def bytes_of(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def merged(letters: Column, rank: Literal) -> Column:
+def merged(letters: Column, rank: Table) -> Column:
     """The pieces of a byte string after all merges, lowest rank first, leftmost first among equals."""
     n = F.length(letters)
     kind = "struct<parts:array<string>,ranks:array<int>>"
@@ -102,7 +112,7 @@ def merged(letters: Column, rank: Literal) -> Column:
     return F.when(n == 1, F.array(letters)).otherwise(folded)
 
 
-def word_ids(word: Column, rank: Literal) -> Column:
+def word_ids(word: Column, rank: Table) -> Column:
     """The ids of a word: its own if it is in the vocabulary, else those of its merged pieces."""
     letters = bytes_of(word)
     whole = rank[letters].cast("int")
@@ -122,8 +132,14 @@ def token_ids(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCA
     split = documents.select("doc_id", words_of(F.coalesce("text", F.lit(""))).alias("words"))
     counts = written(split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     often = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    frequent = Literal({r["word"]: r["ids"] for r in often.select("word", word_ids(F.col("word"), rank).alias("ids")).collect()}, "array<int>")
-    return split.select("doc_id", F.flatten(F.transform("words", lambda w: F.coalesce(frequent[w], word_ids(w, rank)))).alias("ids"))
+    frequent = Literal({r["word"]: r["ids"] for r in often.select("word", bound(rank.column, lambda r: word_ids(F.col("word"), rank.of(r))).alias("ids")).collect()}, "array<int>")
+    maps = F.struct(rank.column.alias("ranks"), frequent.column.alias("frequent"))
+
+    def ids_of(m: Column) -> Column:
+        own, ready = rank.of(m["ranks"]), frequent.of(m["frequent"])
+        return F.flatten(F.transform("words", lambda w: F.coalesce(ready[w], word_ids(w, own))))
+
+    return split.select("doc_id", bound(maps, ids_of).alias("ids"))
 
 
 def decoded(tokens: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
