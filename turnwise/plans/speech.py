@@ -97,7 +97,7 @@ def speaker_indices(spark: SparkSession, sf_dir: str) -> Q:
 
 
 def text_counts(spark: SparkSession, sf_dir: str) -> Q:
-    asr = table(spark, sf_dir, "asr_segments").where(F.coalesce("text", F.lit("")).rlike(r"^[\x20-\x7E]*$"))
+    asr = table(spark, sf_dir, "asr_segments")
     return asr.groupBy("rec_id").agg(F.sum(word_count(F.col("text")).cast("long")).alias("n_words"), F.sum(F.length(stripped(F.coalesce("text", F.lit("")))).cast("long")).alias("n_chars"))
 
 
