@@ -149,9 +149,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_gate(spark: SparkSession, sf_dir: str) -> Q:
-    ascii_only = F.concat("original", "corrected").rlike(r"^[\x20-\x7E]*$")
     o, c = F.col("original"), F.col("corrected")
-    return _pairs(spark, sf_dir).where(ascii_only).select("rec_id", "seg_idx", text_clean.passes_gate(o, c).alias("passes"), text_clean.same_structure(o, c).alias("same"))
+    return _pairs(spark, sf_dir).select("rec_id", "seg_idx", text_clean.passes_gate(o, c).alias("passes"), text_clean.same_structure(o, c).alias("same"))
 
 
 def text_cleanup(spark: SparkSession, sf_dir: str) -> Q:
