@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnwise.operators import text_clean
+from turnwise.plans import privacy
 from turnwise.plans.speech import _S
 
 TEXTS = [
@@ -72,3 +73,17 @@ def test_llm_gate_has_all_texts(spark, small):
     got = {(r.rec_id, r.seg_idx): (r.passes, r.same) for r in entry.queries()["llm_gate"](spark, small).collect()}
     want = {(rec, a[0]): gate_by_hand(a[1], b[1]) for rec, rows in told.items() for a, b in zip(rows, rows[2:])}
     assert got == want and sum(not (a[1] + b[1]).isascii() for rows in told.values() for a, b in zip(rows, rows[2:])) > 300
+
+
+def test_pairs_across_blocks(spark, tmp_path):
+    """Blocks of many rows, of one row and without any; the last two segments of a recording have no partner."""
+    places = [(1, k) for k in (*range(1003), 1700, 2600, 2601, 4000)] + [(2, 499), (2, 500), (2, 1000), (3, 7), (4, 0), (4, 999)]
+    folder = asr_folder(spark, tmp_path, [(rec, k, f"mot {k}") for rec, k in places])
+    told = told_by_recording(spark, folder)
+    want = {(rec, rows[i][0]): (rows[i][1], rows[i + 2][1] if i + 2 < len(rows) else None) for rec, rows in told.items() for i in range(len(rows))}
+    got = privacy._pairs(spark, folder).collect()
+    assert {(r.rec_id, r.seg_idx): (r.original, r.corrected) for r in got} == want and len(got) == len(want)
+    assert entry.queries()["llm_gate"](spark, folder).count() == sum(c is not None for _, c in want.values())
+    clean = {(r.rec_id, r.seg_idx): r.text for r in entry.queries()["text_cleanup"](spark, folder).collect()}
+    assert clean.keys() == want.keys()
+    assert clean[1, 499] == "SPEAKER_1: Mot 499\nSPEAKER_1: Mot 501\n" and clean[1, 2601] == "SPEAKER_1: Mot 2601\n" and clean[2, 499] == "SPEAKER_1: Mot 499\nSPEAKER_0: Mot 1000\n"

@@ -141,22 +141,33 @@ def anonymize_roundtrip(spark: SparkSession, sf_dir: str) -> Q:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text with the text two segments later, as an original and its correction."""
+    """Each text with the text two segments later, as an original and its correction; a recording's last two have none.
+
+    Windows run inside blocks of 500 seg_idx; a block's last two rows take theirs from the first rows of the blocks after it.
+    """
     asr = table(spark, sf_dir, "asr_segments").groupBy("rec_id", "seg_idx").agg(F.min("text").alias("text"))
     told = F.concat(F.lit("SPEAKER_"), F.pmod("seg_idx", F.lit(2)), F.lit(": "), F.coalesce("text", F.lit("")))
-    after = F.lead("told", 2).over(Window.partitionBy("rec_id", F.floor(F.col("seg_idx") / 500)).orderBy("seg_idx"))
-    return asr.withColumn("told", told).select("rec_id", "seg_idx", F.col("told").alias("original"), after.alias("corrected")).where(F.col("corrected").isNotNull())
+    # As a struct the block is never null: the join filters neither side, and both read the same shuffles.
+    block = F.struct("rec_id", F.floor(F.col("seg_idx") / 500).alias("no"))
+    inside, blocks = Window.partitionBy("block").orderBy("seg_idx"), Window.partitionBy("block.rec_id").orderBy("block.no")
+    rows = asr.select("seg_idx", block.alias("block"), told.alias("told"))
+    placed = rows.select("*", F.lead("told").over(inside).alias("second"), F.lead("told", 2).over(inside).alias("third"), F.row_number().over(inside).alias("n"))
+    # The first two texts after the block; a block of one row leaves the second to the block after it.
+    after = F.lead("told").over(blocks), F.coalesce(F.lead("second").over(blocks), F.lead("told", 2).over(blocks))
+    heads = placed.where("n = 1").select("block", after[0].alias("after_1"), after[1].alias("after_2"))
+    corrected = F.coalesce("third", F.when(F.col("second").isNull(), F.col("after_2")).otherwise(F.col("after_1")))
+    return placed.join(heads, "block", "left").select("block.rec_id", "seg_idx", F.col("told").alias("original"), corrected.alias("corrected"))
 
 
 def llm_gate(spark: SparkSession, sf_dir: str) -> Q:
     o, c = F.col("original"), F.col("corrected")
-    return _pairs(spark, sf_dir).select("rec_id", "seg_idx", text_clean.passes_gate(o, c).alias("passes"), text_clean.same_structure(o, c).alias("same"))
+    return _pairs(spark, sf_dir).where(c.isNotNull()).select("rec_id", "seg_idx", text_clean.passes_gate(o, c).alias("passes"), text_clean.same_structure(o, c).alias("same"))
 
 
 def text_cleanup(spark: SparkSession, sf_dir: str) -> Q:
-    pairs = _pairs(spark, sf_dir)
-    whole = text_clean.local_cleanup(F.concat("original", F.lit(" "), "corrected"))
-    return pairs.select("rec_id", "seg_idx", text_clean.small_connectives(text_clean.forced_capitals(whole)).alias("text"))
+    """Every segment's text, with its partner where it has one."""
+    whole = text_clean.local_cleanup(F.concat_ws(" ", "original", "corrected"))
+    return _pairs(spark, sf_dir).select("rec_id", "seg_idx", text_clean.small_connectives(text_clean.forced_capitals(whole)).alias("text"))
 
 
 def normalized_texts(spark: SparkSession, sf_dir: str) -> Q:
