@@ -48,7 +48,7 @@ def test_speaker_label_and_line_end(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     at = text.index("Martin")
     spans = spark.createDataFrame([(1, 0, 7, "PER", 0.9, "ner", 0), (1, at, at + 6, "PER", 0.9, "ner", 1)], SPAN)
-    assert [r.surface for r in anonymize.resolved(docs, spans).collect()] == ["Martin"]
+    assert [r.surface for r in anonymize.resolved(pii.with_context(spans, docs)).collect()] == ["Martin"]
 
 
 def test_digest(spark):
@@ -64,7 +64,7 @@ def test_pseudonyms_are_unique(spark):
     rows = [(1, "LOCATION", f"ville {i}", i) for i in range(400)] + [(1, "LOCATION", "VILLE 3", 900), (2, "LOCATION", "ville 3", 0)]
     got = P.pseudonyms(spark.createDataFrame(rows, "scope int, label string, key string, first_pos int")).collect()
     mine = [r.pseudonym for r in got if r.scope == 1 and r.key != "VILLE 3"]
-    assert len(mine) == 400 and len(set(mine)) > 380
+    assert len(mine) == len(set(mine)) == 400
     by = {(r.scope, r.key): r.pseudonym for r in got}
     assert by[1, "VILLE 3"] == by[1, "ville 3"]
 
@@ -186,9 +186,83 @@ def test_titled_end_and_sweep():
     assert text[: text_clean.titled_end(text, 7)] == "Conseil NovaLyra de Brest"
     ask = lambda window: [(m.start(), m.end(), "PER") for m in __import__("re").finditer("Zoé", window)]
     body = "a Zoé b " * 30
-    assert len(text_clean.swept(body, [(0, 100), (100, 240)], ask)[1]) == 30
+    masked, new = text_clean.swept(body, [(0, 100), (100, 240)], ["<PER_7>"], ask)
+    assert masked == "".join(f"a <PER_{n}> b " for n in found_order(masked)) and len(new) == 30 and sorted(int(t[5:-1]) for t, *_ in new) == list(range(8, 38))
 
     def fails(window):
         raise OSError
 
-    assert text_clean.swept(body, [(0, 100)], fails) == (body, [])
+    assert text_clean.swept(body, [(0, 100)], [], fails) == (body, [])
+
+
+def found_order(masked):
+    return [int(n) for n in __import__("re").findall(r"<PER_(\d+)>", masked)]
+
+
+def test_domain_type_and_canonical(spark):
+    """The domain's type and form win; words of the lists drop spans, the persons' list persons only."""
+    docs = spark.createDataFrame([(1, "Hier NOVA LYRA a écrit, puis Nova Lyra; Merci Jean et Relance Nord et la nova lyra fragile.")], "doc_id bigint, text string")
+    text = docs.first().text
+    span = lambda s, kind, k=0: (1, (a := [m.start() for m in __import__("re").finditer(s, text)][k]), a + len(s), kind, 0.9, "ner", a)
+    model = spark.createDataFrame([span("NOVA LYRA", "PER"), span("Merci Jean", "PER"), span("Relance Nord", "ORG")], SPAN)
+    found = anonymize.resolved(pii.detected(docs, [("Nova Lyra", "ORG")], model), [("Nova Lyra", "ORG")])
+    got = sorted((r.start, r.surface, r.label) for r in found.collect())
+    assert got == [(5, "NOVA LYRA", "ORGANIZATION"), (text.index("Nova Lyra"), "Nova Lyra", "ORGANIZATION")]
+    assert {r.canonical for r in entities.entity_clusters(found, {"nova lyra": "Nova Lyra"}).collect()} == {"Nova Lyra"}
+
+
+def test_masks_by_block(spark):
+    docs = spark.createDataFrame([(1, "a Zoé  b x@y.fr Zoé"), (2, None), (3, "")], "doc_id bigint, text string")
+    model = spark.createDataFrame([(1, 1, 6, "B-PER", 0.9, "ner", 0), (1, 16, 19, "PER", 0.7, "ner", 1), (1, 2, 5, "ORG", 0.5, "ner", 2), (1, 6, 7, "LOC", 0.9, "ner", 3)], SPAN)
+    masked, tags = pii.numbered_masks(docs, pii.block_spans(docs, model))
+    assert {r.doc_id: r.text for r in masked.collect()} == {1: "a <PER_2>  b <EMAIL_1> <PER_1>", 2: None, 3: ""}
+    assert sorted((r.tag, r.original) for r in tags.collect()) == [("<EMAIL_1>", "x@y.fr"), ("<PER_1>", "Zoé"), ("<PER_2>", "Zoé")]
+
+
+def test_corrected_dialogues(spark):
+    docs = spark.createDataFrame([(1, "SPEAKER_1: oui  oui\nSPEAKER_2: non"), (2, "SPEAKER_1: un, Et deux. trois"), (3, ""), (4, None)], "doc_id bigint, text string")
+
+    def factory():
+        return lambda row: [{"text": row["text"].replace("  ", " ") if "non" in row["text"] else "Voici un texte"}]
+
+    got = {r.doc_id: (r.text, r.by_model) for r in text_clean.corrected_dialogues(docs, factory, "test-corrector").collect()}
+    assert got[1] == ("SPEAKER_1: oui oui\nSPEAKER_2: non\n", True) and got[2] == ("SPEAKER_1: Un, et deux. Trois\n", False)
+    assert got[3] == ("\n", False) and got[4] == (None, False)
+
+
+def test_lines_and_repeats_by_hand():
+    """The packing and trimming rules as plain loops."""
+    import random
+
+    rng = random.Random(4)
+
+    def packed(rows, chars, lines):
+        out, held = [], []
+        for row in rows:
+            if held and (sum(map(len, held)) + len(held) + len(row) + 1 > chars or len(held) == lines):
+                out.append("\n".join(held))
+                held = []
+            held.append(row)
+        return [*out, "\n".join(held)] if held else out
+
+    for _ in range(200):
+        rows = ["x" * rng.randrange(0, 9) for _ in range(rng.randrange(1, 30))]
+        chars, lines = rng.randrange(1, 30), rng.randrange(1, 6)
+        if rows[-1]:
+            assert text_clean.line_chunks("\n".join(rows), chars, lines) == packed(rows, chars, lines)
+    for _ in range(300):
+        rows, k, most = [rng.choice("ab") for _ in range(rng.randrange(0, 30))], rng.randrange(1, 4), rng.randrange(1, 3)
+        kept, met = [], 0
+        for row in rows:
+            kept.append(row)
+            met = met + 1 if len(kept) >= 2 * k and kept[-k:] == kept[-2 * k : -k] else 0
+            if met == most:
+                kept, met = kept[:-k], 0
+        assert text_clean.without_repeats("\n".join(rows), k, most) == "\n".join(kept)
+
+
+def test_restore_tolerates(spark):
+    docs = spark.createDataFrame([(1, "ELISE  brun chez alizé, et <PERSON_1>")], "doc_id bigint, text string")
+    keys = spark.createDataFrame([(1, "Élise Brun", "Ana Roux"), (1, "Alizé Conseil", "Novalis"), (1, "<PERSON_1>", "Ana Roux")], "doc_id bigint, key string, value string")
+    assert entities.restored(docs, keys).first().text == "Ana Roux chez Novalis, et Ana Roux"
+    assert one(spark, entities.label_of_tag, "<PERSON_12>") == "PERSON" and one(spark, entities.label_of_tag, "x") == ""

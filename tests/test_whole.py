@@ -30,7 +30,7 @@ def test_text_counts_by_hand(spark, tmp_path):
 
 
 def test_text_counts_all_rows(spark, small):
-    """The SQL over all rows, with blanks of any kind; the registered SQL holds printable ASCII only."""
+    """The SQL over all rows, with blanks of any kind."""
     said = f"regexp_replace(coalesce(text, ''), '^{_S}+|{_S}+$', '', 'g')"
     sql = f"""SELECT rec_id, CAST(sum(CASE WHEN {said} = '' THEN 0 ELSE len(string_split_regex({said}, '{_S}+')) END) AS BIGINT) AS n_words, CAST(sum(length({said})) AS BIGINT) AS n_chars
 FROM '{small}/asr_segments.parquet' GROUP BY rec_id"""

@@ -93,13 +93,20 @@ def _candidate(name: Column, key: Column, h: Column, pools: Pools) -> Column:
 def pseudonyms(keys: DataFrame, pools: Pools = Pools()) -> DataFrame:
     """scope, label, key, pseudonym: keys equal after folding share one, and no two keys of a scope have the same.
 
-    ``keys`` has scope, label, key, first_pos.  The k-th key with a candidate gets ``candidate k`` (from 2), from the
-    51st on ``candidate ddd`` of its digest.
+    ``keys`` has scope, label, key, first_pos.  The k-th key with a candidate gets ``candidate k`` (from 2 to 50), those after
+    it ``candidate ddd`` of their digest, and the r-th of equal ones ``candidate ddd-r``.  Only the first 50 of a candidate
+    are ranked together, which are picked before the shuffle; the others are ranked by candidate and digits.
     """
     folded = keys.select("scope", F.upper("label").alias("label"), folded_key(F.col("key")).alias("folded"), "key", "first_pos")
     own = folded.groupBy("scope", "label", "folded").agg(F.min("first_pos").alias("_first"))
     own = own.withColumn("_candidate", candidate(F.col("label"), F.col("folded"), pools))
-    k = F.row_number().over(Window.partitionBy("scope", "_candidate").orderBy("_first", "label", "folded"))
-    tail = F.when(k <= 50, k.cast("string")).otherwise(_digits(remainder(pieces(digest(F.col("label"), F.col("folded"))), 1000), 3))
-    named = own.withColumn("pseudonym", F.when(k == 1, F.col("_candidate")).otherwise(F.concat("_candidate", F.lit(" "), tail)))
-    return folded.select("scope", "label", "key", "folded").distinct().join(named, ["scope", "label", "folded"]).select("scope", "label", "key", "pseudonym")
+    order = [F.col("_first"), F.col("label"), F.col("folded")]
+    k = F.row_number().over(Window.partitionBy("scope", "_candidate").orderBy(*order))
+    first = own.withColumn("_k", k).where(F.col("_k") <= 50)
+    place = ["scope", "label", "folded"]
+    tail = _digits(remainder(pieces(digest(F.col("label"), F.col("folded"))), 1000), 3)
+    rest = own.join(first.select(*place), place, "left_anti").withColumn("_tail", tail)
+    r = F.row_number().over(Window.partitionBy("scope", "_candidate", "_tail").orderBy(*order))
+    named = first.select(*place, F.when(F.col("_k") == 1, F.col("_candidate")).otherwise(F.concat("_candidate", F.lit(" "), "_k")).alias("pseudonym"))
+    again = rest.withColumn("_r", r).select(*place, F.concat("_candidate", F.lit(" "), "_tail", F.when(F.col("_r") > 1, F.concat(F.lit("-"), "_r")).otherwise("")).alias("pseudonym"))
+    return folded.select(*place, "key").distinct().join(named.unionByName(again), place).select("scope", "label", "key", "pseudonym")

@@ -9,36 +9,56 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.pseudonyms import Pools, pseudonyms
 from turnwise.operators.entities import entity_clusters, restored
-from turnwise.operators.pii import best_labels, detected, disjoint_spans, entity_type, refined_type, spliced, usable, with_surface
+from turnwise.operators.pii import best_labels, detected, disjoint_spans, entity_type, refined_type, spliced, usable
 from turnwise.sources.tables import written
 
-#: Words that are no entities (fixed values).
-GENERIC = (
+# Words that are no persons, and, besides these, no entities.
+PERSONS = (
     "elle elles il ils on je tu nous vous toi moi lui leur leurs quelqu'un personne personnes chacun aucun quand pourquoi comment merci bonjour soir matin midi relance relances relancer moral morale "
-    "cooptation rupture serfa serfas cerfa cerfas sms whatsapp mail mails email emails tennis lundi mardi mercredi jeudi vendredi samedi dimanche client clients organisation organisations entreprise "
+    "cooptation rupture serfa serfas cerfa cerfas"
+).split()
+GENERIC = PERSONS + (
+    "sms whatsapp mail mails email emails tennis lundi mardi mercredi jeudi vendredi samedi dimanche client clients organisation organisations entreprise "
     "entreprises avocat avocats cabinet ligne telephone téléphone compte entrepreneur entrepreneuriat contact contacts"
 ).split()
+# Surfaces that are left alone.
 WHITELIST = (
     "cabinet télétravail donc voilà ok oui non c'est c'était sms whatsapp mail internet email objectif dossier dossiers facture factures poste envie step univers conseil tresor trésor ouh euh bah"
 ).split()
 
 
-def resolved(docs: DataFrame, spans: DataFrame, allowed: Iterable[str] = ()) -> DataFrame:
-    """Disjoint spans with surface and label: types normalised, unusable surfaces dropped, one label a surface."""
-    typed = with_surface(spans, docs).withColumn("entity_type", entity_type(F.col("entity_type")))
-    good = usable(typed, GENERIC, [a.lower() for a in allowed]).where(~F.lower("surface").isin(*WHITELIST))
-    refined = good.withColumn("entity_type", refined_type(F.col("surface"), F.col("entity_type")))
-    labels = best_labels(refined)
-    one = refined.withColumn("surface_lower", F.lower("surface")).join(labels, ["doc_id", "surface_lower"])
-    picked = disjoint_spans(one.select("doc_id", "start", "end", F.col("label").alias("entity_type"), "score", "source", "ord"))
-    return with_surface(picked, docs).drop("text").withColumnRenamed("entity_type", "label")
+def domain_labels(entries: Iterable[tuple[str, str]]) -> dict[str, tuple[str, str]]:
+    """The catalog's own form and type of each value, by its small letters; of several the last stands."""
+    return {p.lower(): (p, label) for p, label in entries if p}
+
+
+def resolved(spans: DataFrame, entries: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """Disjoint spans with surface and label: types normalised, unusable surfaces dropped, one label a surface.
+
+    A surface of the catalog has the catalog's type, unless its neighbours show a common noun.
+    """
+    domain = domain_labels(entries)
+    low = F.lower("surface")
+    typed = spans.withColumn("entity_type", entity_type(F.col("entity_type"))).withColumn("surface_lower", low)
+    if domain:
+        known = spans.sparkSession.createDataFrame([(k, label) for k, (_, label) in domain.items()], "surface_lower string, _label string")
+        typed = typed.join(known, "surface_lower", "left")  # an equi-join instead of a long list in the plan
+    else:
+        typed = typed.withColumn("_label", F.lit(None).cast("string"))
+    own = F.col("_label").isNotNull()
+    good = usable(typed, PERSONS, GENERIC, WHITELIST, own)
+    refined = good.withColumn("entity_type", F.when(own & ~F.col("common"), entity_type(F.col("_label"))).otherwise(refined_type(F.col("surface"), F.col("entity_type"))))
+    one = refined.join(best_labels(refined), ["doc_id", "surface_lower"])
+    picked = disjoint_spans(one.select("doc_id", "start", "end", F.col("label").alias("entity_type"), "score", "source", "ord", "surface"))
+    return picked.withColumnRenamed("entity_type", "label")
 
 
 def anonymized(docs: DataFrame, catalog: Iterable[tuple[str, str]] = (), given: DataFrame | None = None, pools: Pools = Pools()) -> tuple[DataFrame, DataFrame]:
     """Masked texts (doc_id, text, masked, n_spans) and the mapping (doc_id, tag, label, canonical, pseudonym, surface)."""
     entries = list(catalog)
-    spans = written(resolved(docs, detected(docs, entries, given), [p for p, _ in entries]), "spans")
-    clusters = written(entity_clusters(spans), "entities")
+    domain = {k: p for k, (p, _) in domain_labels(entries).items()}
+    spans = written(resolved(detected(docs, entries, given), entries), "spans")
+    clusters = written(entity_clusters(spans, domain), "entities")
     keys = clusters.select(F.col("doc_id").alias("scope"), "label", F.col("canonical").alias("key"), "first_pos").groupBy("scope", "label", "key").agg(F.min("first_pos").alias("first_pos"))
     names = pseudonyms(keys, pools).withColumnsRenamed({"scope": "doc_id", "key": "canonical"})
     mapping = clusters.join(names, ["doc_id", "label", "canonical"]).select("doc_id", "tag", "label", "canonical", "pseudonym", "surface")

@@ -1,7 +1,7 @@
 """Entities from mentions: greedy grouping of close surfaces, canonical forms, tags, statistics, merging of mappings.
 
-Grouping depends on the order of mentions, so it runs on one document's mentions at a time, after equal surfaces have
-been reduced to one row each; a group is as large as a document's distinct surfaces of one type.
+Grouping depends on the order of mentions, so it runs on one document's mentions of one type at a time, after equal
+surfaces have been reduced to one row each.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.translate(_SPECIAL)) if not unicodedata.combining(c))
 
 
+_PART = re.compile(r"[a-z0-9]+")
+
+
 def keys(surface: str) -> tuple[str, str]:
-    """A surface's compact and spaced key: small letters and digits."""
-    base = plain(surface.lower())
-    return re.sub(r"[^a-z0-9]", "", base), re.sub(r"[^a-z0-9]+", " ", base).strip()
+    """What a surface is compared by: its runs of plain small letters and digits, joined and spaced."""
+    parts = _PART.findall(plain(surface.lower()))
+    return "".join(parts), " ".join(parts)
 
 
 def close(a: tuple[str, str], b: tuple[str, str]) -> bool:
@@ -40,9 +43,12 @@ def close(a: tuple[str, str], b: tuple[str, str]) -> bool:
     return best >= 92 or (best >= 80 and a[0][0] == b[0][0] and abs(len(a[0]) - len(b[0])) <= 3)
 
 
-def presented(surface: str, label: str) -> str:
-    """A surface as it is shown: persons without accents and capitalised (short acronyms stay), small names titled."""
+def presented(surface: str, label: str, domain: dict[str, str] | None = None) -> str:
+    """A surface as it is shown: the domain's own form where it has one (``domain``: by small letters); persons without
+    accents and capitalised (short acronyms stay); organisations and places written small titled."""
     clean = " ".join(surface.split())
+    if domain and (own := domain.get(clean.lower())):
+        return own
     if label == "PERSON":
         words = [plain(w) for w in clean.split()]
         return " ".join(w if w.isupper() and len(w) <= 4 else w[:1].upper() + w[1:].lower() for w in words)
@@ -50,9 +56,10 @@ def presented(surface: str, label: str) -> str:
 
 
 def quality(surface: str) -> tuple[int, int, int, int]:
+    """How well a surface is written: capitalised words, words, case (mixed 1, one case 0, no letters -1), length."""
     words = surface.split()
-    upper, lower = any(c.isupper() for c in surface), any(c.islower() for c in surface)
-    return sum(w[0].isupper() for w in words), len(words), int(upper) - (not lower), len(surface)
+    cases = (surface != surface.lower()) + (surface != surface.upper())
+    return sum(w[:1] != w[:1].lower() for w in words), len(words), cases - 1, len(surface.strip())
 
 
 @dataclass
@@ -64,55 +71,82 @@ class Group:
     key: tuple[str, str]
     surfaces: list[str] = field(default_factory=list)
 
-    def add(self, surface: str, score: float, source: str, label: str) -> None:
+    def add(self, surface: str, score: float, source: str, label: str, domain: dict[str, str] | None = None) -> None:
         self.surfaces.append(surface)
-        shown = presented(surface, label)
-        mine, other = keys(self.canonical)[0], keys(shown)[0]
-        singular = label == "PERSON" and mine != other and mine.rstrip("s") == other.rstrip("s")
-        if singular:
-            better = len(other) < len(mine)
-        elif abs(score - self.score) > 0.05:
-            better = score > self.score
-        else:
-            better = quality(shown) > quality(self.canonical)
-        if better and shown:
+        shown = presented(surface, label, domain)
+        if shown and self.yields(shown, score, label, domain or {}):
             self.canonical, self.key = shown, keys(shown)
         if score > self.score:
             self.score, self.source = score, source
 
-
-def group_mentions(mentions: list[tuple[int, str, float, str]], label: str) -> list[Group]:
-    """Mentions (place, surface, score, source) of one type in text order, each put to the first group that is close."""
+    def yields(self, shown: str, score: float, label: str, domain: dict[str, str]) -> bool:
+        """Whether the canonical form gives way to ``shown``: domain forms first, then a person's singular, the score, the form."""
+        if shown.lower() in domain or self.canonical.lower() in domain:
+            return shown.lower() in domain
+        mine, other = self.key[0], keys(shown)[0]
+        if label == "PERSON" and mine != other and other == mine.rstrip("s"):
+            return True
+        if label == "PERSON" and mine != other and mine == other.rstrip("s"):
+            return False
+        if abs(score - self.score) > 0.05:
+            return score > self.score
+        return quality(shown) > quality(self.canonical)
+
+
+def group_mentions(mentions: list[tuple[int, str, float, str]], label: str, domain: dict[str, str] | None = None) -> list[Group]:
+    """Mentions (place, surface, score, source) of one type in text order, each put to the first group that is close.
+
+    A surface met before is close to the first group that had been close to it, unless that or an earlier group has a new
+    canonical form since; only then are groups compared again.
+    """
     groups: list[Group] = []
+    met: dict[tuple[str, str], tuple[int, int]] = {}
+    changes = 0
     for place, surface, score, source in mentions:
         key = keys(surface)
-        group = next((g for g in groups if close(g.key, key)), None)
-        if group is None:
-            shown = presented(surface, label)
+        known = met.get(key)
+        if known and known[1] == changes:
+            at = known[0]
+        else:
+            at = next((i for i, g in enumerate(groups) if close(g.key, key)), -1)
+        if at < 0:
+            shown = presented(surface, label, domain)
             groups.append(Group(shown, score, source, place, keys(shown), [surface]))
+            at = len(groups) - 1
+            if not close(groups[at].key, key):
+                continue
         else:
-            group.add(surface, score, source, label)
+            before = groups[at].key
+            groups[at].add(surface, score, source, label, domain)
+            changes += groups[at].key != before
+        met[key] = at, changes
     return groups
 
 
-_SCHEMA = "doc_id bigint, label string, entity int, canonical string, surface string, first_pos bigint, score double, source string"
+GROUPED = "array<struct<entity:int,canonical:string,surface:string,first_pos:bigint,score:double,source:string>>"
 
 
-def _grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["start", "surface"], kind="stable")
-    rows = []
-    for label, part in pdf.groupby("label", sort=True):
-        mentions = list(zip(part["start"], part["surface"], part["score"], part["source"]))
-        for n, g in enumerate(group_mentions(mentions, label)):
-            rows += [(pdf["doc_id"].iloc[0], label, n + 1, g.canonical, s, g.first, g.score, g.source) for s in dict.fromkeys(g.surfaces)]
-    return pd.DataFrame(rows, columns=["doc_id", "label", "entity", "canonical", "surface", "first_pos", "score", "source"])
+def entity_clusters(mentions: DataFrame, domain: dict[str, str] | None = None) -> DataFrame:
+    """Mentions (doc_id, start, surface, label, score, source) grouped: doc_id, label, entity (from 1, by first
+    appearance), tag, canonical, surface, first_pos, score, source.
 
+    ``domain``: the catalog's forms by their small letters (bounded by the catalog's limit); such a form stays canonical.
+    """
+
+    @F.pandas_udf(GROUPED)
+    def grouped(label: pd.Series, mentions: pd.Series) -> pd.Series:
+        def one(kind: str, rows) -> list[dict]:
+            found = group_mentions([(r["start"], r["surface"], r["score"], r["source"]) for r in rows], kind, domain)
+            return [
+                {"entity": n, "canonical": g.canonical, "surface": s, "first_pos": g.first, "score": g.score, "source": g.source}
+                for n, g in enumerate(found, 1) for s in dict.fromkeys(g.surfaces)
+            ]
+
+        return pd.Series([one(k, rows) for k, rows in zip(label, mentions)])
 
-def entity_clusters(mentions: DataFrame) -> DataFrame:
-    """Mentions (doc_id, start, surface, label, score, source) grouped: doc_id, label, entity (from 1, by first
-    appearance), tag, canonical, surface, first_pos, score, source."""
     first = mentions.groupBy("doc_id", "label", "surface").agg(F.min("start").cast("long").alias("start"), F.max("score").alias("score"), F.max_by("source", "score").alias("source"))
-    found = first.groupBy("doc_id").applyInPandas(_grouped, _SCHEMA)
+    ordered = first.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("start", "surface", "score", "source"))).alias("mentions"))
+    found = ordered.select("doc_id", "label", F.inline(grouped("label", "mentions")))
     return found.withColumn("tag", F.concat(F.lit("<"), "label", F.lit("_"), "entity", F.lit(">")))
 
 
@@ -149,8 +183,12 @@ def merged_mappings(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.select("scope", "tag", "label", "canonical", F.lit(None).cast("string").alias("old_tag")).unionByName(new)
 
 
-def restored(docs: DataFrame, lookup: DataFrame) -> DataFrame:
-    """doc_id, text with each key (doc_id, key, value) put back in one pass, longest key first, at word boundaries."""
+def restored(docs: DataFrame, lookup: DataFrame, tolerant: bool = True) -> DataFrame:
+    """doc_id, text with each key (doc_id, key, value) put back in one pass, longest key first, at word boundaries.
+
+    With ``tolerant`` a second pass puts back keys of words that came back in another case, with other accents, or, for
+    organisations, without their last word.
+    """
 
     @F.pandas_udf("string")
     def put(text: pd.Series, names: pd.Series, values: pd.Series) -> pd.Series:
@@ -159,7 +197,13 @@ def restored(docs: DataFrame, lookup: DataFrame) -> DataFrame:
                 return t
             table = dict(zip(n, v))
             edge = lambda k: (r"(?<!\w)" if k[:1].isalnum() else "") + re.escape(k) + (r"(?!\w)" if k[-1:].isalnum() else "")
-            return re.sub("|".join(edge(k) for k in sorted(table, key=lambda k: (-len(k), k))), lambda m: table[m.group()], t)
+            exact = re.compile("|".join(edge(k) for k in sorted(table, key=lambda k: (-len(k), k))))
+            # What the first pass put back is final: the second reads only what lies between.
+            out, last = [], 0
+            for m in exact.finditer(t):
+                out += [restored_tolerantly(t[last : m.start()], table) if tolerant else t[last : m.start()], table[m.group()]]
+                last = m.end()
+            return "".join([*out, restored_tolerantly(t[last:], table) if tolerant else t[last:]])
 
         return pd.Series([one(*x) for x in zip(text, names, values)], dtype=object)
 
@@ -178,23 +222,47 @@ def restored_in_order(text: Column, pairs: Column) -> Column:
 _ACCENTED = {"a": "aàáâãä", "c": "cç", "e": "eèéêë", "i": "iìíîï", "n": "nñ", "o": "oòóôõö", "u": "uùúûü", "y": "yýÿ"}
 
 
+#: Last words of organisations that may be left out (fixed values).
+SUFFIXES = frozenset("Conseil Legal Services Industries Groupe Solutions Partners Associates Collectif Studio".split())
+
+
+def without_suffix(name: str) -> str | None:
+    """An organisation's name without its last word, if that is one of the usual ones and others remain."""
+    head, _, last = " ".join(name.split()).rpartition(" ")
+    return head if head and last.strip(",.;:") in SUFFIXES else None
+
+
+def label_of_tag(tag: Column) -> Column:
+    """The label of ``<LABEL_n>``, empty for anything else."""
+    return F.coalesce(F.regexp_extract(tag, r"^<([A-Z_]+)_\d+>", 1), F.lit(""))
+
+
 def tolerant_pattern(key: str) -> str:
-    """A one-word key in any case and with any accents, at word boundaries."""
-    return r"(?<!\w)" + "".join(f"[{_ACCENTED[c]}]" if c in _ACCENTED else re.escape(c) for c in plain(key.lower())) + r"(?!\w)"
+    """A key of words in any case and with any accents, blanks of any kind between, at word boundaries."""
+    letter = lambda c: f"[{_ACCENTED[c]}]" if c in _ACCENTED else r"\s+" if c == " " else "['’]" if c in "'’" else re.escape(c)
+    return r"(?<!\w)" + "".join(map(letter, plain(" ".join(key.lower().split())))) + r"(?!\w)"
 
 
 def restored_tolerantly(text: str | None, table: dict[str, str]) -> str | None:
-    """A second pass for one-word keys of letters that came back in another case or without accents.
+    """A second pass for keys of words that came back in another case, with other accents or without a usual last word.
 
-    Replacements are literal, and only whole words are replaced.
+    Replacements are literal, and only whole words are replaced; keys with digits or tag signs take no part, and a key
+    without its last word only where no other key has that form.
     """
     if not text:
         return text
-    names = {plain(k.lower()): v for k, v in sorted(table.items()) if len(k) >= 3 and k.isalpha()}
+    form = lambda k: plain(" ".join(k.lower().replace("’", "'").split()))
+    worded = {k: v for k, v in sorted(table.items()) if len(k) >= 3 and re.fullmatch(r"[^\W\d_](?:[^\W\d_]|['’\s-])*", k)}
+    names = {form(k): v for k, v in worded.items()}
+    short = {}
+    for k, v in worded.items():
+        if (head := without_suffix(k)) and len(head) >= 3:
+            short.setdefault(form(head), v)
+    names = short | names
     if not names:
         return text
     pattern = re.compile("|".join(tolerant_pattern(k) for k in sorted(names, key=lambda k: (-len(k), k))), re.I)
-    return pattern.sub(lambda m: names.get(plain(m.group().lower()), m.group()), text)
+    return pattern.sub(lambda m: names.get(form(m.group()), m.group()), text)
 
 
 def mapping_rows(mapping: Column) -> Column:

@@ -30,19 +30,47 @@ DETERMINERS = frozenset("la le les une un des du de d l au aux".split())
 NOUNS = frozenset("vie faune flore ressource ressources biodiversite milieu milieux industrie industries ministere ministeres arme armee marine justice police".split())
 FOLLOWING = frozenset("fragile fragiles durable durables maritime maritimes marchande marchandes nationale nationales militaire militaires protegee protegees sensible sensibles".split())
 
-SPAN = "array<struct<start:int,end:int,entity_type:string,score:double,source:string>>"
+SPAN = "array<struct<start:int,end:int,entity_type:string,score:double,source:string,surface:string,near_speaker:boolean,common:boolean>>"
+FIELDS = ("start", "end", "entity_type", "score", "source")
 Scan = Callable[[str], Iterable[tuple[int, int, str, float, str]]]
+_EDGE = " \"'«»“”‘’()[]{}<>"
 
 
-def spans_of(docs: DataFrame, scan: Scan, ordinal: int = 0) -> DataFrame:
-    """The spans that ``scan`` yields for each (doc_id, text)."""
+def context_of(text: str, start: int, end: int) -> tuple[str, bool, bool]:
+    """A span's surface without quotes and brackets at its edges, whether it is part of a speaker's label, and whether
+    its neighbours show a common noun."""
+    surface = " ".join(text[start:end].split()).strip(_EDGE)
+    line = text.rfind("\n", 0, start) + 1
+    label = _LABEL.match(text, line)
+    inside = label is not None and start < label.end() or "speaker" in text[start:end].lower()
+    return surface, inside, common_noun(text, start, end)
+
+
+def spans_of(docs: DataFrame, *scans: Scan) -> DataFrame:
+    """The spans that ``scans`` yield for each (doc_id, text), in one pass: FIELDS, surface, near_speaker, common, ord.
+
+    ``ord`` counts a text's spans in the order of scans, then of their places in its output.
+    """
 
     @F.pandas_udf(SPAN)
     def found(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [dict(zip(("start", "end", "entity_type", "score", "source"), s)) for s in scan(t)] if t else [])
+        names = (*FIELDS, "surface", "near_speaker", "common")
+        return text.map(lambda t: [dict(zip(names, (*s, *context_of(t, s[0], s[1])))) for scan in scans for s in scan(t)] if t else [])
+
+    spans = docs.select("doc_id", F.posexplode(found("text")).alias("ord", "_s"))
+    return spans.select("doc_id", "_s.*", F.col("ord").cast("long").alias("ord"))
+
+
+def with_context(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans of a model (doc_id, FIELDS, ord) with surface, near_speaker and common, read from their texts."""
+
+    @F.pandas_udf("struct<surface:string,near_speaker:boolean,common:boolean>")
+    def read(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+        rows = [context_of(t, int(a), int(b)) for t, a, b in zip(text, start, end)]
+        return pd.DataFrame(rows, columns=["surface", "near_speaker", "common"])
 
-    spans = docs.select("doc_id", F.posexplode(found("text")).alias("_pos", "_s"))
-    return spans.select("doc_id", "_s.*", (F.lit(ordinal) * 1_000_000 + F.col("_pos")).cast("long").alias("ord"))
+    joined = spans.join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id").withColumn("_c", read("text", "start", "end"))
+    return joined.select("doc_id", *FIELDS, "_c.*", F.col("ord").cast("long").alias("ord"))
 
 
 def structured_scan(labels: Iterable[str] = ("EMAIL", "PHONE", "IBAN", "SIREN_SIRET")) -> Scan:
@@ -101,19 +129,26 @@ catalog_scan = CatalogScan
 
 _FOLD = str.maketrans("àâäçéèêëîïôöùûüÿñ", "aaaceeeeiioouuuyn")
 _WINDOW = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ']+")
+_LABEL = re.compile(r"\s*SPEAKER_\d+\s*:")
+
+
+def _neighbours(text: str) -> list[str]:
+    return _WINDOW.findall(text.lower().translate(_FOLD))
 
 
 def common_noun(text: str, start: int, end: int) -> bool:
-    """A surface written small whose neighbours show a common noun."""
-    surface = text[start:end].strip()
-    if not surface.islower():
+    """A surface written small that a determiner or a noun precedes, or that an adjective of the list follows.
+
+    Two words before and one after count, as far as 30 letters show them.
+    """
+    if not text[start:end].strip().islower():
         return False
-    before = [w.lower().translate(_FOLD) for w in _WINDOW.findall(text[max(0, start - 30) : start])]
-    after = [w.lower().translate(_FOLD) for w in _WINDOW.findall(text[end : end + 30])]
-    last, last2 = (before[-1] if before else ""), (before[-2] if len(before) > 1 else "")
-    return last in DETERMINERS or last in NOUNS or last2 in NOUNS or bool(after) and after[0] in FOLLOWING
+    two_before = _neighbours(text[max(0, start - 30) : start])[-2:]
+    one_after = _neighbours(text[end : end + 30])[:1]
+    return not NOUNS.isdisjoint(two_before) or not DETERMINERS.isdisjoint(two_before[-1:]) or not FOLLOWING.isdisjoint(one_after)
 
 
+# What stands before a person's or a firm's name, and a capitalised first word that a verb follows.
 _LEADING = re.compile(rf"(?:^|(?<=[.!?]\s))([A-ZÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸ][a-zàâäçéèêëîïôöùûüÿ'\-]+)\s+(?:{'|'.join(VERBS)})\b", re.M)
 _AFTER = re.compile(r"(?:avec|chez|par|M\.|Mme|Mlle|Dr|Me)\s+([A-Z][a-zàâäéèêëïîôùûü]+)")
 _FIRM = re.compile(r"\b(?:Cabinet|Société|SA|SARL|SAS)\s+([A-Z][a-zA-Zàâäéèêëïîôùûü\s]+?)(?=\s|,|\.|$)")
@@ -132,21 +167,20 @@ def context_scan(known: frozenset[str] = frozenset()) -> Scan:
 
 
 def detected(docs: DataFrame, catalog: Iterable[tuple[str, str]] = (), given: DataFrame | None = None) -> DataFrame:
-    """All detectors' spans, in the order model (``given``), catalog, context, structure."""
+    """All detectors' spans, in the order model (``given``), catalog, context, structure; texts are read once."""
     entries = list(catalog)
     known = frozenset(p.lower() for p, _ in entries)
-    parts = [spans_of(docs, catalog_scan(entries, True, 1.0, "domain"), 1)] if entries else []
-    parts += [spans_of(docs, context_scan(known), 2), spans_of(docs, structured_scan(), 3)]
-    out = given
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out
+    scans = [catalog_scan(entries, True, 1.0, "domain")] if entries else []
+    found = spans_of(docs, *scans, context_scan(known), structured_scan())
+    # Model spans come first: their own order is kept below that of all others.
+    return found if given is None else with_context(given.withColumn("ord", F.col("ord") - F.lit(1 << 40)), docs).unionByName(found)
 
 
 def structured_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the number of e-mail and phone patterns in each text; counted in the JVM."""
+    """doc_id and the number of matches of each structured pattern in each text; counted in the JVM."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.regexp_count(text, F.lit(EMAIL.replace(r"\b", ""))).alias("n_email"), F.regexp_count(text, F.lit(PHONE)).alias("n_phone"))
+    count = lambda name: F.regexp_count(text, F.lit(f"(?i){STRUCTURED[name]}")).alias(f"n_{name.lower()}")
+    return docs.select("doc_id", *[count(name) for name in STRUCTURED])
 
 
 def entity_type(label: Column) -> Column:
@@ -167,14 +201,6 @@ def type_priority(label: Column) -> Column:
     return out
 
 
-def with_surface(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans with their surface, cleaned of quotes and brackets at the edges."""
-    joined = spans.join(docs.select("doc_id", "text"), "doc_id")
-    raw = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    clean = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s+", " "), r"^[\s\"'«»“”()\[\]{}<>]+|[\s\"'«»“”()\[\]{}<>]+$", ""))
-    return joined.withColumn("surface", clean)
-
-
 def ner_gate(spans: DataFrame, named: float = 0.65, other: float = 0.70) -> DataFrame:
     """Model spans with a sound place and enough score for their type; prefixes of chunk tags are folded."""
     kind = F.regexp_replace(F.upper("entity_type"), "^[BI]-", "")
@@ -182,23 +208,31 @@ def ner_gate(spans: DataFrame, named: float = 0.65, other: float = 0.70) -> Data
     return spans.withColumn("entity_type", kind).where((F.col("score") >= least) & (F.col("start") >= 0) & (F.col("end") > F.col("start")))
 
 
-def usable(spans: DataFrame, blocked: Iterable[str] = (), allowed: Iterable[str] = ()) -> DataFrame:
-    """Spans whose surface may be an entity: rules on length, case and letters; ``allowed`` surfaces pass them.
+def words_in(surface: Column) -> Column:
+    """The small-letter words of a surface, cut at blanks, punctuation, hyphens and brackets."""
+    return F.filter(F.split(F.lower(surface), r"(?U)[\s,.;:!?()-]+"), lambda w: F.length(w) > 0)
 
-    Needs ``surface``, ``text`` and a normalised ``entity_type``; spans inside a ``SPEAKER_n :`` prefix are dropped.
+
+def usable(spans: DataFrame, persons: Iterable[str] = (), generic: Iterable[str] = (), whitelist: Iterable[str] = (), own: Column | None = None) -> DataFrame:
+    """Spans whose surface may be an entity: rules on length, case, letters and words.
+
+    Needs ``surface``, ``near_speaker`` and a normalised ``entity_type``.  Surfaces of ``whitelist`` and parts of speaker
+    labels are dropped, and surfaces of ``generic``, structured types excepted.  Unless a span is the domain's ``own``, a
+    word of ``generic`` in it drops it, a word of ``persons`` drops a person, and so do the rules on form.
     """
     s, low = F.col("surface"), F.lower("surface")
     words = F.split(s, r"\s+")
     capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
     numeric = F.col("entity_type").isin("PHONE", "EMAIL", "IBAN", "SIREN_SIRET", "DATE", "URL")
     small = s == low
-    bad = low.isin(*blocked) if blocked else F.lit(False)
+    persons, generic, whitelist = (list(x) for x in (persons, generic, whitelist))
+    among = lambda values: low.isin(*values) if values else F.lit(False)
+    holds = lambda values: among(values) | F.arrays_overlap(words_in(s), F.array(*[F.lit(v) for v in values])) if values else F.lit(False)
     noise = ((F.size(words) > 1) & (capitals == 0)) | ((F.col("entity_type") == "MISC") & small) | (F.length(s) <= 2) | (small & (F.length(s) <= 3)) | (F.length(F.regexp_replace(s, r"\P{L}", "")) <= 1)
-    free = low.isin(*allowed) if allowed else F.lit(False)
-    inside = F.length(F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("start")), "\n", -1))
-    line = F.substring_index(F.substring(F.col("text"), F.col("start") - inside + 1, F.length("text")), "\n", 1)
-    in_label = inside < F.length(F.regexp_extract(line, r"^(\s*SPEAKER_\d+\s*:)", 1))
-    return spans.where((F.length(s) >= 2) & ~in_label & (numeric | (~bad & (free | ~noise))))
+    own = F.lit(False) if own is None else own
+    blocked = holds(generic) | ((F.col("entity_type") == "PERSON") & holds(persons))
+    kept = spans.where((F.length(s) >= 2) & ~F.col("near_speaker") & ~among(whitelist))
+    return kept.where((numeric | (~among(generic) & (own | ~noise))) & (own | ~blocked))
 
 
 def refined_type(surface: Column, label: Column) -> Column:
@@ -215,27 +249,41 @@ def best_labels(spans: DataFrame) -> DataFrame:
     return best.select("doc_id", "surface_lower", F.col("_best.entity_type").alias("label"))
 
 
-def _folded_spans(spans: DataFrame, order: list[Column], keep: Column | None, replaces) -> DataFrame:
-    """One document's spans, sorted and folded from the left; ``replaces`` tells when a span takes its forerunner's place."""
-    fields = ["start", "end", "entity_type", "score", "source", "ord"]
-    row = F.struct(*[F.col(c) for c in fields])
-    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(*order, row.alias("row")))), lambda x: x["row"])
-    grouped = spans.groupBy("doc_id").agg(sorted_.alias("all"))
-    kind = grouped.schema["all"].dataType.simpleString()
-    empty = F.array().cast(kind)
+def _kept(replaces: Callable[[int, int], bool]):
+    """The places of the spans that stay, for sorted arrays of starts and ends; one pass.
+
+    A span that begins at or after the last kept end stays; else it takes the last one's place if ``replaces`` (length of
+    the last, own length) says so.
+    """
+
+    @F.pandas_udf("array<int>")
+    def run(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def one(a, b) -> list[int]:
+            out: list[int] = []
+            for i in range(len(a)):
+                if not out or a[i] >= b[out[-1]]:
+                    out.append(i)
+                elif replaces(b[out[-1]] - a[out[-1]], b[i] - a[i]):
+                    out[-1] = i
+            return out
+
+        return pd.Series([one(a, b) for a, b in zip(starts, ends)])
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        added = F.concat(acc, F.array(x)).cast(kind)
-        instead = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x)).cast(kind)
-        return F.when((F.size(acc) == 0) | (x["start"] >= last["end"]), added).when(replaces(last, x), instead).otherwise(acc)
+    return run
 
-    return grouped.select("doc_id", F.inline(F.aggregate("all", empty, step)))
+
+def _without_overlaps(spans: DataFrame, order: list[Column], replaces: Callable[[int, int], bool]) -> DataFrame:
+    """Each document's spans in ``order`` with overlaps removed; all columns are kept."""
+    fields = [c for c in spans.columns if c != "doc_id"]
+    sorted_ = F.array_sort(F.collect_list(F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)], F.struct(*fields).alias("row"))))
+    grouped = spans.groupBy("doc_id").agg(F.transform(sorted_, lambda x: x["row"]).alias("all"))
+    at = _kept(replaces)(F.col("all.start"), F.col("all.end"))
+    return grouped.select("doc_id", F.inline(F.transform(at, lambda i: F.get("all", i))))
 
 
 def disjoint_spans(spans: DataFrame) -> DataFrame:
     """Overlaps removed: the earliest start wins, at equal starts the higher score, then the first."""
-    return _folded_spans(spans, [F.col("start"), (-F.col("score")).alias("_s"), F.col("ord").alias("_o")], None, lambda last, x: F.lit(False))
+    return _without_overlaps(spans, [F.col("start"), -F.col("score"), F.col("ord")], lambda last, own: False)
 
 
 def longest_spans(spans: DataFrame) -> DataFrame:
@@ -244,8 +292,32 @@ def longest_spans(spans: DataFrame) -> DataFrame:
     own = first.select("doc_id", "start", "end", "entity_type", F.col("_f.score").alias("score"), F.col("_f.source").alias("source"), F.col("_f.ord").alias("ord"))
     named = F.col("entity_type").isin("PER", "ORG", "LOC")
     rank = F.when(F.col("source") == F.when(named, F.lit("ner")).otherwise(F.lit("regex")), 0).otherwise(1)
-    order = [F.col("start"), (F.col("start") - F.col("end")).alias("_l"), rank.alias("_r"), (-F.col("score")).alias("_s"), F.col("ord").alias("_o")]
-    return _folded_spans(own, order, None, lambda last, x: (x["end"] - x["start"]) > (last["end"] - last["start"]))
+    return _without_overlaps(own, [F.col("start"), F.col("start") - F.col("end"), rank, -F.col("score"), F.col("ord")], lambda last, own: own > last)
+
+
+def block_spans(docs: DataFrame, model: DataFrame, catalog: Iterable[tuple[str, str]] = (), patterns: Iterable[str] = ("EMAIL", "PHONE", "IBAN", "SIREN_SIRET")) -> DataFrame:
+    """The union of model spans (gated by score), pattern spans and, last, catalog spans, without copies and overlaps."""
+    plain = ["doc_id", *FIELDS, "ord"]
+    rows = ner_gate(model).select(*plain).unionByName(spans_of(docs, structured_scan(patterns)).select(*plain).withColumn("ord", F.col("ord") + F.lit(1 << 40)))
+    entries = list(catalog)
+    if entries:
+        rows = rows.unionByName(spans_of(docs, catalog_scan(entries, False, 0.95, "catalog")).select(*plain).withColumn("ord", F.col("ord") + F.lit(1 << 41)))
+    return longest_spans(rows)
+
+
+def numbered_masks(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Masked texts (doc_id, text) and their spans (doc_id, tag, entity_type, start, end, original).
+
+    Blanks at a span's edges stay in the text, spans of blanks alone are left out; each span gets a tag of its own, numbered
+    for each type from the end of the text.
+    """
+    joined = spans.join(docs.select("doc_id", "text"), "doc_id")
+    raw = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    before = F.length(F.regexp_extract(raw, r"(?U)^\s*", 0))
+    said = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    tight = joined.select("doc_id", F.upper("entity_type").alias("entity_type"), (F.col("start") + before).alias("start"), said.alias("original"), "ord").where(F.length("original") > 0)
+    tagged = backward_tags(tight.withColumn("end", F.col("start") + F.length("original")))
+    return spliced(docs, tagged.select("doc_id", "start", "end", F.col("tag").alias("value"))), tagged.select("doc_id", "tag", "entity_type", "start", "end", "original")
 
 
 def backward_tags(spans: DataFrame) -> DataFrame:

@@ -187,8 +187,8 @@ SELECT rec_id, cue, cue || chr(10) || {_TIME("s")} || ' --> ' || {_TIME("e")} ||
     "speaker_ids": """WITH first AS (SELECT rec_id, lower(trim(speaker)) AS label, min(seg_idx) AS f FROM asr_segments WHERE speaker IS NOT NULL GROUP BY 1, 2)
 SELECT rec_id, label, row_number() OVER (PARTITION BY rec_id ORDER BY f, label) - 1 AS speaker FROM first""",
     "speaker_indices": """SELECT speaker, coalesce(TRY_CAST(nullif(trim(replace(replace(upper(speaker), 'SPEAKER_', ''), 'SPK', '')), '') AS INTEGER), 0) AS idx, count(*) AS n FROM asr_segments GROUP BY speaker""",
-    "text_counts": r"""SELECT rec_id, CAST(sum(CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\s+')) END) AS BIGINT) AS n_words,
-  CAST(sum(length(trim(coalesce(text, '')))) AS BIGINT) AS n_chars FROM asr_segments WHERE regexp_full_match(coalesce(text, ''), '[\x20-\x7E]*') GROUP BY rec_id""",
+    "text_counts": f"""SELECT rec_id, CAST(sum(CASE WHEN {_STRIP("coalesce(text, '')")} = '' THEN 0 ELSE len(string_split_regex({_STRIP("coalesce(text, '')")}, '{_S}+')) END) AS BIGINT) AS n_words,
+  CAST(sum(length({_STRIP("coalesce(text, '')")})) AS BIGINT) AS n_chars FROM asr_segments GROUP BY rec_id""",
     "run_manifests": """WITH r AS (SELECT *, nullif(lower(trim(user_folder)), '') AS folder, nullif(lower(trim(device)), '') AS dev, nullif(lower(trim(lang)), '') AS lg, coalesce(updated_at, created_at) AS u FROM recordings WHERE rec_id IS NOT NULL),
 b AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY u DESC NULLS LAST, audio DESC NULLS LAST) AS k, min(created_at) OVER (PARTITION BY rec_id) AS c, count(*) OVER (PARTITION BY rec_id) AS n_runs FROM r)
 SELECT rec_id, 1 AS schema_version, CASE WHEN lower(trim(run_state)) = 'ready' THEN 'ready' ELSE 'failed' END AS status, audio,
