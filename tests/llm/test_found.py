@@ -284,6 +284,34 @@ def test_abuse(text):
     assert (abuse.document_score(text)[0] >= abuse.THRESHOLD) == bool(ABUSE[text])
 
 
+# Written by hand, with no noun of the tables.
+HAND = {
+    "The Zorvanians are subhuman vermin and must be wiped out": 1, "I will kill you tonight": 1, "Je vais te tuer": 1, "Ich werde dich umbringen": 1, "Te voy a matar": 1, "Go to hell and drop dead, you.": 1, "Asshole!": 1, "Idiot!": 1,
+    "tu eres t o n t o e idiota": 1, "Asshole" + "e" * 60: 1, "You stupididiot, shut up": 1, "Shut up\nyou moron and get lost": 1, "Die Brastanier sind Ungeziefer und gehören eingesperrt.": 1, "Les Quistanais sont des parasites et il faut les éliminer": 1,
+    "The only good Lurvian is a dead one": 1, "Raus mit allen Kelpiern, diesem Dreckspack": 1, "You are a worthless, pathetic l o s e r": 1, "We will hurt you and your family": 1, "Fuera los tarvianos, son escoria": 1, "All Morvians are thieves and rapists": 1,
+    "He licked her tits and fucked her naked": 1, "Nude teens suck cock, uncensored porn": 1, "Halt die Fresse, du Vollidiot": 1, "Wh*res like you should rot in hell": 1,
+    "Refugees suffer from disease and parasites in camps": 0, "Those people need clean water; parasites spread disease.": 0, "These weeds are parasites and must be removed": 0, "The rats are animals that live in a cage.": 0, "The women were nurses.": 0,
+    'He said: "you stupid bitch, shut up" and was reported.': 0, 'The report quotes a post as an example: "foreigners are vermin and should be shot".': 0, "The parent will kill the child process before you start": 0, "Die Bastardfeile dient zum Entgraten.": 0,
+    "If you shut the valve, the pressure will drop.": 0, "The engine died and the driver got lost.": 0, "Dogs, cats and rats were examined for the disease": 0, "Die Tiere sind krank und sollen geheilt werden": 0, "Refugees and immigrants out of work receive a grant": 0, "The cage is lowered into the sea": 0,
+}
+
+
+def test_abuse_by_hand():
+    """Recall and precision of at least nine tenths on sentences that share no noun with the tables."""
+    found = {t for t in HAND if abuse.document_score(t)[0] >= abuse.THRESHOLD}
+    true = {t for t, label in HAND.items() if label}
+    assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.9 * len(found), (true - found, found - true)
+
+
+def test_automaton_forgets():
+    made = abuse.Automaton({"asshole": {"a"}}, {"asshole"})
+    for c in "abcdefgh":
+        made.kinds_of("ass" + c * 3)
+    n = len(made.sets)
+    made.forget()
+    assert len(made.sets) == 1 < n and made.kinds_of("assho1e") == {"a"}
+
+
 def test_abuse_queries(spark, small):
     docs = table(spark, small, "documents")
     scores = abuse.abuse_scores(docs)

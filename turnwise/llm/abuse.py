@@ -1,11 +1,12 @@
 """Problem 9: abusive, hateful or sexual content.
 
-A lexicon of terms by kind (insults, dismissals, groups of people, dehumanizing words, calls to remove people, sexual
-words, ...) is one trie.  A Levenshtein automaton is intersected with it, so that misspelled and masked terms are met
+A lexicon of terms by kind (insults, dismissals, threats, dehumanizing words, calls for violence, sexual words, ...) is one
+trie.  A Levenshtein automaton is intersected with it, so that misspelled and masked terms are met
 while a token is read once: masks stand for any letter, digits and signs that look like a letter cost nothing, repeated
 letters collapse.  The product is made deterministic lazily and kept by each Python worker.  Terms alone decide nothing:
-each sentence around a hit gets a score from the kinds that meet in its context window; technical company (a bastard
-file, a slave cylinder, a male connector) and talk about a word lower it.
+each sentence around a hit gets a score from the kinds that meet in its context window, and groups are told by the frame
+they stand in, not by their names; technical company (a bastard file, a slave cylinder, a male connector), talk about a
+word and reported speech in quotation marks lower it.
 
 Defined results: null and blank texts score 0; a document's score is that of its worst sentence, in [0, 1]; texts are
 read whole, of any length; repeated rows and further columns pass through.
@@ -32,22 +33,30 @@ LEXICON = {
     # words that insult when they are aimed at somebody
     "insult": "idiot idiots moron morons imbecile imbecil imbécil retard retarded bastard bastards stupid pathetic worthless disgusting loser fool scum trottel depp vollidiot blöder dumme dummer débile maldito foutre abruti imbécile "
     "idiota subnormal estúpido tonto puta puto basura piece shit mierda merde ordure blöde mistgeburt pauvre sale perra zorra zorras cerdo penner versager",
-    # sending people away, wishing them harm
-    "away": "fuck shut drop dead hell lost die rot eat choke verpiss verreck fresse gueule dégage espèce va casse ferme vete cállate callate muérete muerete piérdete lárgate largate halt stirb hau crève creve nique fous",
+    # sending people away, wishing them harm; the second kind counts only beside the first
+    "away": "fuck shut hell verpiss verreck fresse gueule dégage vete cállate callate muérete muerete piérdete lárgate largate hau crève creve nique fous",
+    "push": "drop dead lost die rot eat choke espèce va casse ferme halt stirb go geh",
+    # harm announced, and who announces it
+    "threat": "kill murder strangle stab shoot hurt beat burn tuer buter égorger étrangler frapper töten toten umbringen abstechen erschießen erschlagen matar degollar apuñalar golpear",
+    "self": "i i'll we we'll je on nous ich wir yo voy vamos nosotros will gonna vais werde werden",
     # the person spoken to
     "weak": "con conne cons fils hijo hija gros pauvre espèce",
     "you": "you your yourself du dich dir dein tu te toi t'es eres tú ti tus vous ihr fucking",
     "crowd": "nobody niemand nadie personne wants want will quiere veut here hier aquí aqui ici",
     "writer": "whoever wrote only complete like such rubbish wer schrieb quien escribió escribio celui écrit qu'un",
-    # groups of people
-    "group": "foreigners foreigner immigrants immigrant refugees refugee migrants velmarians velmarian orkani tessari hill people velmariens velmarier velmarianos étrangers etrangers immigrés immigres réfugiés refugies ausländer "
-    "auslander flüchtlinge fluchtlinge einwanderer extranjeros inmigrantes refugiados montagnards bergvolk bergleute montañeses muslims jews gypsies",
-    # what they are called
-    "dehuman": "vermin animals parasites parasite disease rapists thieves subhuman filthy cattle rats cockroaches ungeziefer parasiten tiere abschaum parasit diebe vergewaltiger krankheit untermenschen parásitos parasitos animales "
-    "plaga ratas ladrones violadores enfermedad animaux parasite vermine maladie voleurs violeurs rats dreckspack racaille nuisibles bestias escoria",
-    # what should be done to them
-    "remove": "rid wiped deported shot cage belongs lets country decent every good raus fuera dehors weg gehören gehoren meer eingesperrt verschwinden éliminer eliminer expulser jeter pendre expulsados echarlos exterminarlos dead moins gagné menos less eliminarlos fusiler enfermer echar "
-    "exterminar expulsar matar vergasen erschossen hängen tuer out should ausgerottet jaula cage mer mar",
+    # groups of people, by common words only; the names of peoples are told by their endings and by the frame they stand in
+    "group": "foreigners foreigner immigrants immigrant refugees refugee migrants people étrangers etrangers immigrés immigres réfugiés refugies gens ausländer "
+    "auslander flüchtlinge fluchtlinge einwanderer leute extranjeros inmigrantes refugiados gente muslims jews gypsies women",
+    # what people are called: words that demean by themselves, and words of biology and medicine that need more company
+    "dehuman": "vermin rapists thieves subhuman filthy scum ungeziefer abschaum diebe vergewaltiger untermenschen ladrones violadores vermine voleurs violeurs dreckspack racaille nuisibles escoria",
+    "creature": "animals parasites parasite disease cattle rats cockroaches parasiten tiere parasit krankheit parásitos parasitos animales plaga ratas enfermedad animaux maladie rats bestias plague pest",
+    "copula": "are is be were sind ist seid sein sont est êtes être son es eres sois ser they",
+    # what should be done to them: violence, and what may be done to things too
+    "expel": "raus fuera dehors weg out",
+    "these": "those diesem diese diesen ces cette estos esos",
+    "harm": "wiped deported shot cage hanged gassed expulser pendre expulsados echarlos exterminarlos exterminar expulsar matar vergasen erschossen hängen eingesperrt gehängt tuer fusiler enfermer "
+    "echar ausgerottet jaula cage sea meer mer mar dead toter mort muerto deport fusilados exterminés gagné",
+    "remove": "rid belongs lets country decent every only good raus fuera dehors weg gehören gehoren verschwinden éliminer eliminer jeter moins menos less eliminarlos out should must faut hay deben müssen sollen sollten",
     # sexual words
     "porn": "porn porno pornovideo uncensored",
     "sexual": "sex sexo sexe fuck suck lick pleasure moaned rode cock pussy tits cum ficken blasen geleckt lecken geil stöhnte ritt lécher lecher sucer baiser gémit gemit chevauchait chupar follar lamer gemía gemia "
@@ -60,12 +69,18 @@ LEXICON = {
     "grease nipple naphtha ignition plant coating watchdog parent child shaft valve piston operator deburr",
     # talk about a word
     "quote": "word words term terms mot terme wort begriff palabra término filter list lexicon dictionary moderation example",
+    # somebody else's speech
+    "report": "said says wrote writes reported reports reporting called quoted quotes quote message comment comments post posts example dit disait écrit écrivait signalé commentaire sagte schrieb gemeldet kommentar beispiel dijo escribió denunció comentario ejemplo exemple",
 }
 #: Kinds whose terms are also met misspelled, by at most (letters + 1) / 5 edits; the others as they are, or masked.
-SPELLED = ("slur", "insult", "away", "group", "dehuman", "porn", "sexual", "bare")
+SPELLED = ("slur", "insult", "away", "group", "dehuman", "creature", "porn", "sexual", "bare")
 #: Kinds of which a hit makes a sentence worth scoring.
-LEADING = frozenset(["slur", "insult", "group", "dehuman", "porn", "sexual", "bare"])
+LEADING = frozenset(["slur", "insult", "away", "threat", "group", "dehuman", "creature", "harm", "porn", "sexual", "bare"])
+#: Endings of the names of peoples (English, French, Spanish, German).
+_PEOPLE = re.compile(r"(?:ans|ish|ese|iens|ards|ais|ois|anos|enses|eses|ianer|volk|ier)$")
 THRESHOLD = 0.5
+#: States that an automaton keeps, at most; letters of terms that are met inside a joined token, at least.
+STATES, JOINED = 200_000, 4
 # Signs and digits written for a letter.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t"}
 MASKS = "*#_-.•●×?%&~^"
@@ -92,6 +107,10 @@ def folded(text: str) -> str:
     return _UNSEEN.sub("", text.lower()).translate(folding())
 
 
+#: Kinds of terms that abuse runs together; a bastard file in one word is none.
+RUN_TOGETHER = frozenset(["slur", "insult", "away", "push", "weak", "you", "dehuman", "porn", "sexual"])
+
+
 class Automaton:
     """The product of a Levenshtein automaton and the trie, made deterministic as tokens are read.
 
@@ -163,8 +182,15 @@ class Automaton:
         self.moves[state][c] = to
         return to
 
+    def forget(self) -> None:
+        """Drops all states but the first; they are made again as tokens are read."""
+        start = self.sets[0]
+        self.states, self.sets, self.moves = {start: 0}, [start], [{}]
+
     def kinds_of(self, token: str) -> frozenset[str]:
         """Kinds of the nearest terms to ``token``."""
+        if len(self.sets) > STATES:
+            self.forget()
         state = 0
         for c in token:
             state = self.step(state, c)
@@ -174,6 +200,20 @@ class Automaton:
         least = min((used for used, _ in found), default=0)
         return frozenset().union(*(kinds for used, kinds in found if used == least))
 
+    def joined(self, token: str) -> frozenset[str]:
+        """Kinds of the terms of ``JOINED`` letters or more that ``token`` is written of without blanks between, two at least."""
+        kinds: list[frozenset[str] | None] = [frozenset(), *[None] * len(token)]
+        for i, before in enumerate(kinds):
+            node = 0
+            for j in range(i, len(token)) if before is not None else ():
+                node = self.children[node].get(token[j], 0)
+                if not node:
+                    break
+                if node in self.end and j + 1 - i >= JOINED and (i or j + 1 < len(token)) and self.kinds[node] <= RUN_TOGETHER:
+                    kinds[j + 1] = (kinds[j + 1] or frozenset()) | before | self.kinds[node]
+        found = kinds[-1] or frozenset()
+        return found | {"slur"} if "insult" in found else found  # insults run together are one by themselves
+
 
 @cache
 def automaton() -> Automaton:
@@ -190,15 +230,23 @@ _leads: set[str] = set()
 _TRIM = " \t\n,;:!?()[]{}\"'«»“”„.…/\\"
 _REPEAT = re.compile(r"([a-z])\1{2,}")
 _SPELT = re.compile(r"^[^\W_](?:[.\-_·/ ][^\W_])+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){3,}[^\W\d_](?=[.,;:!?]*(?:\s|$))")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?=[.,;:!?]*(?:\s|$))")
 #: Kinds that count only as they are written.
-_EXACT = frozenset(["technical", "quote"])
+_EXACT = frozenset(["technical", "quote", "report", "self"])
+#: Words of one letter that have a kind.
+_SINGLE = frozenset("i")
 
 
 def _unspaced(m: re.Match[str]) -> str:
-    """A word whose letters stand apart; a first letter that is a word by itself is left alone."""
-    word = "".join(m.group().split())
-    return word if token_kinds(word) or not token_kinds(word[1:]) else f"{word[0]} {word[1:]}"
+    """A word whose letters stand apart; letters at its ends that are words by themselves are left alone."""
+    letters = m.group().split()
+    n = len(letters)
+    for size in range(n, 2, -1):
+        for begin in range(n - size + 1):
+            word = "".join(letters[begin : begin + size])
+            if token_kinds(word) if size == n else not LEADING.isdisjoint(token_kinds(word)):
+                return " ".join([*letters[:begin], word, *letters[begin + size :]])
+    return m.group()
 
 
 def plain_letters(word: str) -> bool:
@@ -214,7 +262,7 @@ def token_kinds(token: str) -> frozenset[str]:
             _leads.clear()
         word = folded(token).strip(_TRIM)
         kinds = frozenset()
-        if sum(c.isalpha() for c in word) >= 1 and len(word) <= 40 and (len(word) > 1):
+        if any(c.isalpha() for c in word) and (len(word) > 1 or word in _SINGLE):
             plain = _REPEAT.sub(r"\1", word)
             if _SPELT.match(word):
                 plain = re.sub(r"[.\-_·/ ]", "", word)
@@ -224,11 +272,15 @@ def token_kinds(token: str) -> frozenset[str]:
                 kinds = automaton().kinds_of(plain)
                 if not kinds and plain != word:
                     kinds = automaton().kinds_of(re.sub(r"([a-z])\1+", r"\1", word))
+                if not kinds and plain != word:
+                    kinds = automaton().kinds_of(re.sub(r"([a-z])\1+$", r"\1", word))
                 if not kinds and "'" in plain:
                     kinds = automaton().kinds_of(plain.rpartition("'")[2])
                 if not kinds and "-" in plain and word.replace("-", "").isalpha():
                     for part in word.split("-"):
                         kinds = kinds | automaton().kinds_of(part)
+                if not kinds and len(plain) >= 2 * JOINED:
+                    kinds = automaton().joined(plain)
             if kinds and plain != folded(token).strip(_TRIM) or not plain_letters(word):
                 kinds = kinds - _EXACT
         _seen[token] = kinds
@@ -240,37 +292,88 @@ def token_kinds(token: str) -> frozenset[str]:
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
+_OPENS, _CLOSES = "\"«“„‘", "\"»”“’"
+_WRAPPED = re.compile(r"(?<=[^\s.!?…:;])[ \t]*\r?\n[ \t]*(?=[a-zà-ÿ])")
+
+
+def quoted(tokens: list[str]) -> list[bool]:
+    """Whether each token stands inside quotation marks."""
+    out, inside = [], False
+    for token in tokens:
+        core = token.strip(".,;:!?…()")
+        inside = inside or core[:1] in _OPENS and bool(core)
+        out.append(inside)
+        if inside and core[-1:] in _CLOSES and len(core) > 1:
+            inside = False
+    return out
+
+
+def framed(kinds: list[frozenset[str]], tokens: list[str]) -> tuple[int, int, bool]:
+    """Demeaning words and creatures that a noun is called (noun, copula, at most four words, the term; or the term, then
+    ``that they are``), and whether that noun names people by its kind or ending."""
+    copulas = [i for i, k in enumerate(kinds) if "copula" in k]
+    demanded = any("expel" in k for k in kinds)
+    called = lambda i: any(0 < i - c <= 5 for c in copulas) or any(0 < c - i <= 4 and c - 1 in copulas for c in copulas) or i > 0 and "these" in kinds[i - 1] and demanded
+    strong = sum("dehuman" in k and called(i) for i, k in enumerate(kinds))
+    weak = sum("creature" in k and called(i) for i, k in enumerate(kinds))
+    nouns = [t.strip(_TRIM) for c in copulas for t in tokens[max(0, c - 3) : c]]
+    return strong, weak, any(len(t) >= 6 and _PEOPLE.search(t) for t in nouns)
+
+
 def sentence_score(tokens: list[str], near: list[str]) -> float:
-    """How abusive a sentence is, from the kinds that meet in it; ``near`` are the words right beside the hits.
+    """How abusive a stretch of a sentence is, from the kinds that meet in it; ``near`` are the words right beside the hits.
 
-    Insults count when aimed at a person; groups when called something or sent away; sexual words when people, bareness
-    or undressing meet.  Technical company and talk about words, right beside them, lower the score.
+    Insults count when aimed at a person or standing alone; threats when somebody announces harm to the person spoken to;
+    groups, of any name, when called something in a frame of noun, copula and term, or when violence is called for; sexual
+    words when people, bareness or undressing meet.  Technical company and talk about words, right beside them, lower the
+    score, and so does reported speech: hits that stand in quotation marks beside a word of saying outside them.
     """
+    kinds = [token_kinds(t) for t in tokens]
     has: dict[str, int] = {}
-    for token in tokens:
-        for kind in token_kinds(token):
+    for k in kinds:
+        for kind in k:
             has[kind] = has.get(kind, 0) + 1
     n = lambda kind: has.get(kind, 0)
     beside = lambda kind: sum(kind in token_kinds(t) for t in near)
     aimed = n("you") + n("crowd") + n("writer")
+    away = n("away") + n("push")
     insult = 0.0
     if n("slur"):
-        insult = 0.35 + 0.25 * min(2, n("away") + aimed + n("insult") + n("slur") - 1)
+        insult = 0.35 + 0.25 * min(2, away + aimed + n("insult") + n("slur") - 1)
+        if len(tokens) <= 2:
+            insult = max(insult, 0.6)
+    if n("insult") and len(tokens) <= 2 and any("!" in t for t in tokens):
+        insult = 0.6
     if n("insult"):
-        insult = max(insult, 0.1 + 0.2 * min(4, (n("insult") - 1) + n("away") + aimed + n("weak")) if n("away") + aimed else 0.1)
-    if n("away") >= 2 and n("you"):
+        insult = max(insult, 0.1 + 0.2 * min(4, (n("insult") - 1) + away + aimed + n("weak")) if away + aimed else 0.1)
+    if n("away") and away >= 2 and n("you"):
         insult = max(insult, 0.5 + 0.1 * n("insult"))
+    if n("threat") and n("you") and n("self"):
+        insult = max(insult, 0.6)
     hate = 0.0
-    if n("group"):
-        hate = 0.2 + 0.25 * min(2, n("dehuman")) + 0.2 * min(3, n("remove")) + 0.1 * n("slur")
-        if n("dehuman") + n("slur") + n("remove") == 0:
-            hate = 0.0
+    if n("dehuman") + n("creature") + n("harm") + n("slur") + n("remove") > 0:
+        strong, weak, people = framed(kinds, tokens)
+        group = bool(n("group"))
+        harm, remove = n("harm"), n("remove")
+        if strong:
+            hate = 0.35 + 0.25 * min(1, harm + remove) + 0.15 * min(1, strong + weak - 1) + 0.2 * (group or people)
+        elif weak:
+            hate = 0.1 + 0.45 * (remove > 0 and (harm > 0 or group or people)) + 0.25 * min(2, weak) * group
+        if n("expel") and strong + weak:
+            hate = max(hate, 0.6)
+        if group and harm + n("slur") and remove:
+            hate = max(hate, 0.2 + 0.2 * min(3, harm + remove) + 0.1 * n("slur"))
+        words = {t.strip(_TRIM) for t in tokens}
+        if {"moins", "gagne"} <= words or {"only", "good", "dead"} <= words or {"toter", "guter"} <= words or {"mort", "bon", "seul"} <= words or {"muerto", "bueno", "único"} <= words:
+            hate = max(hate, 0.6)
     sexual = 0.0
     if n("sexual") + n("porn") or n("bare") >= 2:
         met = min(2, n("sexual")) + 2 * min(1, n("porn")) + min(2, n("bare")) + min(2, n("bodies") + n("slur")) + min(2, n("undress"))
         sexual = 0.18 * met if n("bodies") + n("slur") + n("porn") or n("bare") + n("undress") >= 2 else 0.0
     worst = max(insult, hate, sexual)
-    return max(0.0, min(1.0, worst - 0.3 * min(2, beside("technical")) * (hate < 0.5) - 0.2 * min(2, beside("quote"))))
+    inside = quoted(tokens)
+    reported = any(inside) and any("report" in k and not q for k, q in zip(kinds, inside)) and all(q for k, q in zip(kinds, inside) if not LEADING.isdisjoint(k))
+    return max(0.0, min(1.0, worst - 0.3 * min(2, beside("technical")) * (hate < 0.5) - 0.2 * min(2, beside("quote")) - 0.6 * reported))
 
 
 def document_score(text: str | None) -> tuple[float, str]:
@@ -281,8 +384,9 @@ def document_score(text: str | None) -> tuple[float, str]:
     tokens = set(lower.split())
     for token in tokens.difference(_seen):
         token_kinds(token)
-    if sum(len(t) == 1 for t in tokens) >= 4:
-        lower = _SPACED.sub(_unspaced, lower)
+    if sum(len(t.strip(_TRIM)) == 1 for t in tokens) >= 2 and _SPACED.search(lower):
+        text = _SPACED.sub(_unspaced, lower)
+        lower = text.lower()
         tokens = set(lower.split())
         for token in tokens.difference(_seen):
             token_kinds(token)
@@ -290,9 +394,10 @@ def document_score(text: str | None) -> tuple[float, str]:
     if not leads:
         return 0.0, ""
     best, where = 0.0, ""
-    for sentence in _SENTENCE.split(lower):
+    # Lines that go on in small letters are one sentence.
+    for sentence in _SENTENCE.split(_WRAPPED.sub(" ", text).lower()):
         tokens = sentence.split()
-        if len(tokens) < 2 or leads.isdisjoint(tokens):
+        if leads.isdisjoint(tokens):
             continue
         tokens = folded(" ".join(tokens)).split()
         kinds = [token_kinds(t) for t in tokens]
