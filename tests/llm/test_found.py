@@ -192,12 +192,37 @@ def test_personal_data(spark):
         got[r.seg_idx].add(r.pii_type)
     wrong = {t: (got[i], want) for i, (t, want) in enumerate(CASES.items()) if got[i] != want}
     assert not wrong
-    masked = {r.seg_idx: r.masked for r in personal_data.masked_segments(asr(spark, rows), catalog).collect()}
+    rows_masked = personal_data.masked_segments(asr(spark, rows + rows[:5]), catalog).collect()
+    masked = {r.seg_idx: r.masked for r in rows_masked}
+    assert len(rows_masked) == len(rows)
     assert masked[0] == "Envoyez le dossier à <EMAIL> svp" and masked[10_000] is None and masked[10_001] == " "
     assert personal_data.found_types(asr(spark, []), catalog).count() == 0
     assert personal_data.found_types(asr(spark, rows), catalog.limit(0)).where("pii_type = 'EMAIL'").count() == 90
 
 
+# Written by hand: names outside the tables' frames and forms that no table holds.
+UNFRAMED = {
+    "Thibault Garnier présente le budget": "PERSON", "My colleague Rachel Whitcombe is going to Leeds": "PERSON", "Dossier suivi par Bertrand Lacombe": "PERSON", "Hier Sylvain Bourdet a proposé un plan": "PERSON",
+    "then Oliver Prentwood said no": "PERSON", "tel:0612345678": "PHONE", "0 6 1 2 3 4 5 6 7 8 pour rappeler": "PHONE", "écris à x[at]y.fr": "EMAIL", "12 Park Hill please": "ADDRESS", "GB29NWBK60161331926819": "ID_NUMBER",
+    "la réunion de lundi est annulée": None, "We ship 400 items to Leeds": None, "Bonjour à tous": None, "The budget is 12 000 euros": None,
+}
+
+
+def test_personal_data_outside_frames(spark):
+    """The classifier decides candidates that no labeler of the catalog speaks for."""
+    rows = [(1, i, 0.0, 1.0, t, "1") for i, t in enumerate([*CASES] * 20 + [*UNFRAMED])]
+    catalog = spark.createDataFrame(CATALOG, "pattern string, entity_type string")
+    got = collections.defaultdict(set)
+    for r in personal_data.found_types(asr(spark, rows), catalog).collect():
+        got[r.seg_idx].add(r.pii_type)
+    wrong = {t: (got[len(CASES) * 20 + i], want) for i, (t, want) in enumerate(UNFRAMED.items()) if got[len(CASES) * 20 + i] != ({want} if want else set())}
+    assert len(wrong) <= 1, wrong
+
+
+def test_longest_finding_is_masked():
+    assert personal_data.masked_text("a bc d", [(2, 3, "PERSON"), (2, 6, "ADDRESS"), (0, 3, "EMAIL")]) == "a <ADDRESS>"
+
+
 def test_personal_data_found(spark, small):
     rows = entry.queries()["p6_found"](spark, small).collect()
     assert len(rows) == len(set(map(tuple, rows))) and {r.pii_type for r in rows} <= set(personal_data.TYPES[:-1])

@@ -7,12 +7,12 @@ soft labels train a span classifier on shape and context features, which decides
 replaced by typed placeholders.
 
 Bounds: vote patterns are counted in Spark, and of the sums only tables of fixed size reach the driver (each labeler has
-three values at most, and patterns below one millionth of all candidates are folded into their kind's silent pattern);
+four values at most, and patterns of a kind below one millionth of all candidates are folded into its silent one);
 common words are those with at least 1/10,000 of all words, so at most 10,000; the classifier is fitted on at most
 ``FIT`` candidates, chosen by hash, and applied to all.
 
-Defined results: null and blank texts hold nothing; a segment delivered twice counts once; overlapping findings go to
-the longer one, names inside e-mail addresses and streets are none; texts of any length are read whole; an empty table
+Defined results: null and blank texts hold nothing; a segment delivered twice counts once; of overlapping findings the
+longest is masked, names inside e-mail addresses and streets are none; texts of any length are read whole; an empty table
 or an empty catalog gives no row, or no gazetteer votes.
 """
 
@@ -24,11 +24,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.functions.segments import one_per_segment
 from turnwise.llm.abuse import folded
 from turnwise.llm.plain_text import variants
 from turnwise.sources.tables import written
@@ -36,9 +38,11 @@ from turnwise.sources.tables import written
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "PERSON", "NONE")
 NONE = len(TYPES) - 1
 #: Candidates that the classifier is fitted on, at most; the buckets of its features.
-FIT, BUCKETS = 20_000, 1 << 12
+FIT, BUCKETS = 20_000, 1 << 13
 #: A word is common with at least this share of all lower-case words.
 COMMON = 1e-4
+#: Vote patterns of a smaller share of the candidates are folded into the silent one.
+RARE = 1e-6
 #: Entries of the catalog that are used, at most; a larger one is refused, since every task gets it.
 CATALOG_LIMIT = 200_000
 
@@ -62,28 +66,41 @@ _JOIN = r"(?:[.\-_+]|\s+(?:point|dot|tiret(?:\s+du\s+bas)?|underscore|dash|plus|
 EMAIL = re.compile(rf"(?i)(?<![\w.+-])[^\W_](?:[\w+-]|{_JOIN}(?=\w))*(?:{_AT}[\w-]+(?:{_DOT}[\w-]+)+|\s+at\s+[\w-]+(?:[.-][\w-]+)*(?:\s+dot\s+[\w-]+)+)")
 _EMAIL_PLAIN = re.compile(r"(?i)^[\w.+-]+@[\w-]+(\.[\w-]+)+$")
 _GAP = r"(?:[.\-/]|[   ]?[-(][   ]?|\)[   .-]?|[   ])"
-DIGITS = re.compile(rf"(?<![\w])(?:(?:FR|GB|DE|BE|ES|IT|CH)[ -]?\d{{2}}(?:[  -]?\d[A-Z]?){{8,30}}(?!\w)|\d{{2}}[A-Z]{{2}}\d{{5}}(?!\w)|(?:\+|00)?\(?\d(?:{_GAP}?\d){{5,}}(?!\w))", re.I)
+DIGITS = re.compile(rf"(?<![\w])(?:(?-i:(?:FR|GB|DE|BE|ES|IT|CH)\d{{2}}(?:[ -]?[A-Z\d]{{4}}){{2,7}}(?:[ -]?[A-Z\d]{{1,3}})?)(?!\w)|(?:FR|GB|DE|BE|ES|IT|CH)[ -]?\d{{2}}(?:[  -]?\d[A-Z]?){{8,30}}(?!\w)|\d{{2}}[A-Z]{{2}}\d{{5}}(?!\w)|(?:\+|00)?\(?\d(?:{_GAP}?\d){{5,}}(?!\w))", re.I)
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT_WORDS})(?:[\s-]+(?:{_DIGIT_WORDS})){{6,}}(?!\w)")
 ADDRESS = re.compile(
-    rf"(?i)(?<![\w,.:])(?:(?:flat|apt|apartment|unit|appartement)\s+\w+,?\s+)?(?:\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-d])(?!\w))?|(?:{_NUMBER_WORDS})(?:[\s-]+(?:{_NUMBER_WORDS}))*),?\s+"
+    rf"(?i)(?<![\w,.:])(?:(?:flat|apt|apartment|unit|appartement)\s+\w+,?\s+)?(?:\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-d])(?!\w))?|(?!(?:et|and)(?!\w))(?:{_NUMBER_WORDS})(?:[\s-]+(?:{_NUMBER_WORDS}))*),?\s+"
     rf"(?:(?:{_FR_STREET})(?!\w)\s+(?:(?:de|du|des|la|le|les|d'|de\s+l'|l')\s*)*[\w'-]+(?:\s+(?-i:[A-ZÉÈÀÂÎÔÇ][\w'-]+))*|(?:(?!(?:the|a|an|is|in|of|to|dollars|euros|items|points|percent)\s)[a-z][\w'-]*\s+){{1,3}}(?:{_EN_STREET})(?!\w))"
 )
 _PHONE_LEFT = re.compile(r"(?i)(t[ée]l|phone|portable|mobile|rappele|appele|joindre|call|dial|faites|ring|ligne|reach)\W*(?:\w+\W+){0,4}$")
 _PHONE_RIGHT = re.compile(r"(?i)^\s*(?:c'est|is)\s+(?:la|the|ma|my)?\s*(ligne|direct|portable|mobile)")
 _ID_LEFT = re.compile(r"(?i)(siren|siret|s[ée]cu|s[ée]curit[ée] sociale|social security|passeport|passport|iban|bank account|compte bancaire|rib|carte d'identit[ée])\W*(?:(?:num[ée]ro|number|no|n°|n)\W*)?$")
-_ID_FAR = re.compile(r"(?i)(facture|invoice|dict|spell|notez bien|please note|num[ée]ro, c'est)\W*(?:\w+\W+){0,6}$")
+_ID_FAR = re.compile(r"(?i)(?<!\w)(?:num[ée]ro|number|facture|invoice|n°)\W*(?:\w+\W+){0,6}$")
 _OTHER_LEFT = re.compile(r"(?i)(commande|order|ticket|dossier|version|build|lot|file|batch|fiche|sheet|reste|score|went|en est)\W*(?:\w+\W+){0,2}$")
-_OTHER_RIGHT = re.compile(r"(?i)^\W*(?:co[ûu]te|costs?|euros?|dollars?|points?|items?|pour cent|percent|%|plante|still crashes|[ap]\.?m\b)")
+_OTHER_RIGHT = re.compile(r"(?i)^\W*(?:co[ûu]te|costs?|euros?|dollars?|points?|items?|pour cent|percent|%|[kcm]?[mg](?!\w)|heures?|hours?|minutes?|[ap]\.?m\b)")
 _MAIL_CONTEXT = re.compile(r"(?i)(mail|[ée]crire|write|adresse|address|send|envoyez|copie|copy)")
 _LIVES = re.compile(r"(?i)(habite|livraison|d[ée]m[ée]nag|venez|live at|parcel|come to|moved to|adresse|address)")
-_NAMED_LEFT = re.compile(r"(?i)(m'appelle|mon nom est|my name is|sign[ée]d? (?:by|par)|demandez|(?<!\w)ask|(?<!\w)vu|(?<!\w)saw|c'est|s[œo]e?ur de|fr[èe]re de|de la part de|contact(?:ez)?)\W*(?:à\W+)?$")
-_NAMED_RIGHT = re.compile(r"(?i)^(?:'s\s+\w+)?\W*(qui a|est absent|is away|hier(?!\w)|yesterday|pour les cl|for the keys|a sign|has signed|a appel|called)")
-_PLACE_LEFT = re.compile(r"(?i)(?:(?<!\w)(?:chez|in|at|à|en|de|from|near|sur|société|cabinet|company)|\d{5},?)\s+$")
+_NAMED_LEFT = re.compile(
+    r"(?i)(m'appelle|mon nom est|my name is|sign[ée]d? (?:by|par)|demandez|(?<!\w)ask|(?<!\w)vu|(?<!\w)saw|c'est|s[œo]e?ur de|fr[èe]re de|de la part de|contact(?:ez)?|"
+    r"coll[èe]gue|colleague|(?<!\w)amie?|friend|brother|sister|boss|manager|directeur|directrice|director|assistante?|(?:suivi|g[ée]r[ée]|[ée]crit|envoy[ée])e?s? par|(?:led|handled|written|sent) by)\W*(?:à\W+)?$"
+)
+#: Verbs that mostly have persons as their subject.
+_DOES = re.compile(
+    r"(?i)^\s+(?:ne\s+|n')?(?:est|a|va|vient|dit|pr[ée]sente|pense|propose|doit|peut|veut|demande|arrive|sera|[ée]tait|avait|habite|travaille|is|has|says|said|was|thinks|wants|asks|asked|comes|came|called|lives|works|wrote|signed)(?!\w)"
+)
+_PLACE_LEFT = re.compile(r"(?i)(?:(?<!\w)(?:chez|in|at|à|en|de|from|near|to|vers|sur|société|cabinet|company)|\d{5},?)\s+$")
 _DETERMINER = re.compile(r"(?i)(?<!\w)(?:le|la|les|un|une|the|a|an|de|du|des|ce|cette|please|i|it|will|en|in|my|this)\s+$")
+_ALL_CAPITALS = re.compile(r"^[A-ZÀ-Þ\d-]{2,}$")
 _NOTE = re.compile(r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*]*\*|[♪♫]+[^♪♫]*[♪♫]+")
 _HES = re.compile(r"(?i)^(?:e+u+h+|h+e+u+h*|h+u+m+|h+m+|u+h+m*|u+m+h*|e+r+m*|speaker|spk|locuteur|siren|siret|fr|flat|iban)$")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’-]*[^\W_])?\.?")
-_STREETS = frozenset(f"{_FR_STREET}|{_EN_STREET}".split("|")) - {"st", "dr", "av", "way", "hill", "cours", "passage", "row", "walk"}
+_STREETS = frozenset(folded_word for word in f"{_FR_STREET}|{_EN_STREET}".split("|") for folded_word in (word, folded(word)))
+_DIGITS = frozenset(_DIGIT_WORDS.split("|"))
+_NUMBERS = frozenset(_NUMBER_WORDS.split("|")) - {"et", "and"}
+#: What a token may be part of, as bits.
+AT, DIGIT, SPOKEN, NUMBER, STREET, NAME = 1, 2, 4, 8, 16, 32
+#: Tokens that a worker remembers, at most.
+REMEMBERED = 1_000_000
 
 
 @cache
@@ -145,22 +162,27 @@ class Finder:
     """Candidates of a text, with the labelers' votes and the classifier's features."""
 
     #: Labelers, in the order of their votes.
-    LABELERS = ("pattern", "context", "gazetteer", "keyword", "shape", "against")
+    LABELERS = ("pattern", "context", "gazetteer", "keyword", "shape", "against", "capitals", "verb")
 
     def __init__(self, gazetteer: Gazetteer, common: set[str]) -> None:
         self.gazetteer, self.common = gazetteer, common
-        self.seen: set[str] = set()
-        self.hot: set[str] = set()
-        self.hot_names: set[str] = set()
-
-    def is_hot(self, token: str) -> bool:
-        """Whether a text with this token needs a closer look for other types than names."""
-        low = token.lower()
-        if "@" in token or "arobase" in low or low in ("dot", "[dot]", "[at]") or low.strip(",.;:").startswith(("zéro", "zero")):
-            return True
-        if sum(c.isdigit() for c in token) >= 2:
-            return re.fullmatch(r"\W*(?:fr)?[\d.\-()/+ ]+[a-z]{0,2}\d*\W*", low) is not None
-        return folded(low.strip(".,;:!?…()")) in _STREETS or low.strip(".,;:!?…()") in _STREETS
+        self.seen: dict[str, int] = {}
+
+    def signs(self, token: str) -> int:
+        """What a text with this token may hold; every pattern's spans have the signs that it is looked for by."""
+        word = token.lower().strip(".,;:!?…\"«»'’")
+        bare = word.strip("()[]")
+        out = AT if "@" in token or "arobase" in word or bare in ("dot", "at", "point") and (bare == "dot" or word != bare) or "[at]" in word or "(at)" in word else 0
+        if any(c.isdigit() for c in token):
+            out |= DIGIT
+        parts = re.split(r"[-']", bare)
+        if not _DIGITS.isdisjoint(parts):
+            out |= SPOKEN
+        if not _NUMBERS.isdisjoint(parts):
+            out |= NUMBER
+        if not _STREETS.isdisjoint((bare, *parts)):
+            out |= STREET
+        return out | (NAME if self.is_name_hot(token) else 0)
 
     def is_name_hot(self, token: str) -> bool:
         """Whether a text with this token needs a closer look for names."""
@@ -188,53 +210,55 @@ class Finder:
         """(start, end, kind, votes, features) of each candidate span."""
         if not text.isascii() and max(text) > "\u024f":
             text = text.translate(_look_alikes())  # one letter for one, so places stay
-        tokens = set(text.split())
-        for t in tokens.difference(self.seen):
-            self.seen.add(t)
-            if self.is_hot(t):
-                self.hot.add(t)
-            if self.is_name_hot(t):
-                self.hot_names.add(t)
-        named = not self.hot_names.isdisjoint(tokens)
-        if self.hot.isdisjoint(tokens):
-            return self.names(text, []) if named else []
+        tokens = text.split()
+        seen = self.seen
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        signs = 0
+        for t in tokens:
+            known = seen.get(t)
+            if known is None:
+                known = seen[t] = self.signs(t)
+            signs |= known
+        if not signs & (AT | DIGIT | SPOKEN | STREET):
+            return self.names(text, []) if signs & NAME else []
         out = []
         taken: list[tuple[int, int]] = []
         free = lambda a, b: all(b <= x or a >= y for x, y in taken)
         low = text.lower()
-        if "@" in text or "arobase" in low or "[at]" in low or "(at)" in low or " dot " in low:
+        if signs & AT:
             for m in EMAIL.finditer(text):
                 a, b = m.span()
                 s = m.group()
                 left, right = text[max(0, a - 40) : a], text[b : b + 30]
                 context = _MAIL_CONTEXT.search(left[-25:]) or _MAIL_CONTEXT.search(right[:20])
                 plain = _EMAIL_PLAIN.match(s)
-                votes = (0, 0 if context else -1, -1, 0 if plain or re.search(r"(?i)arobase|@|\[at\]", s) else -1, 0 if len(s) > 10 else -1, -1)
+                votes = (0, 0 if context else -1, -1, 0 if plain or re.search(r"(?i)arobase|@|\[at\]", s) else -1, 0 if len(s) > 10 else -1, -1, -1, -1)
                 out.append(self.row(text, a, b, "email", votes))
                 taken.append((a, b))
-        if any(c.isdigit() for c in text):
+        if signs & DIGIT and sum(map(str.isdigit, text)) >= 6:
             for m in DIGITS.finditer(text):
                 a, b = m.span()
                 if free(a, b):
                     out.append(self.row(text, a, b, "digits", self.number_votes(text, a, b)))
                     taken.append((a, b))
-        if "zéro" in low or "zero" in low or "double" in low or "triple" in low or " oh " in low:
+        if signs & SPOKEN and sum(1 for t in tokens if seen[t] & SPOKEN) >= 7 or signs & SPOKEN and "-" in text:
             for m in SPELLED.finditer(text):
                 a, b = m.span()
                 if free(a, b):
                     phone = bool(_PHONE_LEFT.search(text[max(0, a - 40) : a]) or _PHONE_RIGHT.search(text[b : b + 30]))
                     count = len(re.split(r"[\s-]+", m.group())) + len(re.findall(r"(?i)double", m.group()))
-                    out.append(self.row(text, a, b, "spelled", (1, 1 if phone else -1, -1, -1, 1 if count >= 9 else NONE, -1)))
+                    out.append(self.row(text, a, b, "spelled", (1, 1 if phone else -1, -1, -1, 1 if count >= 9 else NONE, -1, -1, -1)))
                     taken.append((a, b))
-        if not _STREETS.isdisjoint(re.findall(r"[^\W\d_]+", low)) or any(w in low for w in (" way", " row", " walk", " hill", " cours ", " passage ")):
+        if signs & STREET and signs & (DIGIT | NUMBER):
             for m in ADDRESS.finditer(text):
                 a, b = m.span()
                 if free(a, b):
                     lives = bool(_LIVES.search(text[max(0, a - 40) : a]))
-                    votes = (3, 3 if lives else -1, -1, -1, 3 if text[a].isdigit() or low[a : a + 4] == "flat" else -1, NONE if _OTHER_LEFT.search(text[max(0, a - 30) : a]) else -1)
+                    votes = (3, 3 if lives else -1, -1, -1, 3 if text[a].isdigit() or low[a : a + 4] == "flat" else -1, NONE if _OTHER_LEFT.search(text[max(0, a - 30) : a]) else -1, -1, -1)
                     out.append(self.row(text, a, b, "address", votes))
                     taken.append((a, b))
-        return out + self.names(text, taken) if named else out
+        return out + self.names(text, taken) if signs & NAME else out
 
     def number_votes(self, text: str, a: int, b: int) -> tuple[int, ...]:
         s, left, right = text[a:b], text[max(0, a - 45) : a], text[b : b + 25]
@@ -247,7 +271,7 @@ class Finder:
         if keyword == 2:
             context = 2
         against = NONE if _OTHER_LEFT.search(left[-25:]) or _OTHER_RIGHT.match(right) else -1
-        return (pattern, context, -1, keyword, NONE if other_shape(s) else -1, against)
+        return (pattern, context, -1, keyword, NONE if other_shape(s) else -1, against, -1, -1)
 
     def names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple]:
         """Runs of words that look like names or stand in the gazetteer."""
@@ -294,12 +318,17 @@ class Finder:
                 else:
                     break
             end = marks[j][1]
-            votes = self.name_votes(text, marks, i, j)
-            if 4 in votes:  # with no vote for a person nothing speaks for one
-                out.append(self.row(text, a, end, "name", votes))
+            first = i - 1 if i and self.leads(text, marks[i - 1], marks[i]) else i
+            out.append(self.row(text, marks[first][0], end, "name", self.name_votes(text, marks, first, j)))
             i = j + 1
         return out
 
+    def leads(self, text: str, before: tuple, name: tuple) -> bool:
+        """Whether a common word belongs to the name after it: written with a capital though no sentence starts with it."""
+        a, b, bare, plain, _, initial, hon, like = before
+        capital = len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and not (hon or like or initial)
+        return capital and name[0] - b == 1 and name[2][0].isupper() and re.search(r"[^\s.!?…:;>\]})\"«“-]\s+$", text[max(0, a - 10) : a]) is not None
+
     def name_votes(self, text: str, marks: list[tuple], i: int, j: int) -> tuple[int, ...]:
         a, b = marks[i][0], marks[j][1]
         left, right = text[max(0, a - 30) : a], text[b : b + 30]
@@ -311,8 +340,10 @@ class Finder:
             left = text[max(0, marks[i - 1][0] - 30) : marks[i - 1][0]]
         full = " ".join(sorted(plain)) in self.gazetteer.full
         known = sum(m[4] for m in span)
-        pattern = 4 if len(span) >= 2 and upper and (known or any(m[5] for m in span)) else NONE if not upper and len(span) == 1 else -1
-        context = 4 if _NAMED_LEFT.search(left) or _NAMED_RIGHT.match(right) else -1
+        pattern = 4 if len(span) >= 2 and upper and (known or any(m[5] for m in span)) else -1
+        context = 4 if _NAMED_LEFT.search(left) else -1
+        if len(span) == 1 and not (known and upper) and not hon and context < 0:
+            pattern = NONE  # a lone word that nothing introduces
         gazetteer = 4 if full and (len(span) > 1 or upper) else 4 if known and (upper or len(span) > 1) else -1
         keyword = 4 if hon else -1
         common = all(p in self.common or m[2].lower() in self.common for p, m in zip(plain, span))
@@ -320,7 +351,9 @@ class Finder:
             gazetteer = -1  # a common word among capitals
         shape = NONE if common and len(span) == 1 and (not upper or span[0][2].isupper()) else 4 if len(span) > 1 and (known or any(m[5] for m in span)) else -1
         against = NONE if _PLACE_LEFT.search(left) and not context == 4 or (_DETERMINER.search(left) and len(span) == 1 and not upper) else -1
-        return (pattern, context, gazetteer, keyword, shape, against)
+        capitals = 4 if len(span) >= 2 and upper and all(len(m[2]) > 1 for m in span) else NONE if len(span) == 1 and bool(_ALL_CAPITALS.match(span[0][2])) else -1
+        verb = 4 if _DOES.match(right) else -1
+        return (pattern, context, gazetteer, keyword, shape, against, capitals, verb)
 
     def row(self, text: str, a: int, b: int, kind: str, votes: tuple[int, ...]) -> tuple:
         left = re.findall(r"[^\W\d_]+|\d|@", text[max(0, a - 30) : a].lower())[-3:]
@@ -381,7 +414,7 @@ def common_words(segments: DataFrame, share: float = COMMON) -> set[str]:
     counts = segments.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r["word"] for r in counts.where(F.col("n") >= max(2.0, share * total)).select("word").collect()}  # at most 1 / share rows
+    return {r["word"] for r in counts.where(F.col("n") >= share * total).select("word").collect()}  # at most 1 / share rows
 
 
 def catalog_rows(catalog: DataFrame) -> list[tuple[str | None, str | None]]:
@@ -486,10 +519,15 @@ def trained(candidates: DataFrame) -> np.ndarray:
     """The span classifier's weights, from the vote patterns of all candidates."""
     counts = candidates.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n"))
     patterns = [(r["kind"], tuple(map(int, r["votes"].split(","))), r["n"]) for r in counts.collect()]  # labelers' values have a fixed number of patterns
-    soft = label_model(patterns)
     total = sum(n for _, _, n in patterns)
     if not total:
         return np.zeros((BUCKETS, len(TYPES)))
+    silent = (-1,) * len(Finder.LABELERS)
+    folded_counts: Counter = Counter()
+    for kind, votes, n in patterns:
+        folded_counts[kind, votes if n >= RARE * total else silent] += n
+    soft = label_model([(kind, votes, n) for (kind, votes), n in folded_counts.items()])
+    soft |= {(kind, votes): soft[kind, silent] for kind, votes, n in patterns if n < RARE * total}
     share = min(1.0, FIT / total)
     chosen = candidates.where(F.pmod(F.xxhash64("rec_id", "seg_idx", "from"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     rows = chosen.select("kind", "votes", "feats").limit(2 * FIT).collect()  # FIT rows on average
@@ -526,30 +564,34 @@ def found_types(segments: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def masked_text(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """``text`` with a typed placeholder in place of each span."""
+    """``text`` with a typed placeholder in place of each span; of overlapping spans the longest, then the first."""
+    chosen: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if all(b <= x or a >= y for x, y, _ in chosen):
+            chosen.append((a, b, kind))
     out, last = [], 0
-    for a, b, kind in sorted(spans):
-        if a >= last:
-            out += [text[last:a], f"<{kind}>"]
-            last = b
+    for a, b, kind in sorted(chosen):
+        out += [text[last:a], f"<{kind}>"]
+        last = b
     return "".join([*out, text[last:]])
 
 
 def masked_segments(segments: DataFrame, catalog: DataFrame) -> DataFrame:
-    """rec_id, seg_idx, masked: the text of every segment with typed placeholders, null where it is null."""
-    finder, _, weights = _model(segments, catalog)
+    """rec_id, seg_idx, masked: the text of every segment with typed placeholders, null where it is null.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                spans = []
-                for a, b, kind, _, feats in finder.candidates(text) if text else ():
-                    k = KINDS.index(kind)
-                    t = decide(k, buckets_of(feats), weights)
-                    if t != NONE:
-                        spans.append((a, b, TYPES[t]))
-                out.append(masked_text(text, spans) if spans else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["rec_id", "seg_idx", "masked"])
-
-    return segments.select("rec_id", "seg_idx", "text").mapInArrow(run, "rec_id bigint, seg_idx bigint, masked string")
+    A segment delivered twice gives one row; the candidates found for the model are used again, texts are read once more.
+    """
+    own = one_per_segment(segments.select("rec_id", "seg_idx", "text", *[c for c in ("arrived_at",) if c in segments.columns]), ["text"])
+    _, candidates, weights = _model(own, catalog)
+
+    @F.pandas_udf("string")
+    def decided(kinds: pd.Series, feats: pd.Series) -> pd.Series:
+        return pd.Series([TYPES[decide(int(k), f, weights)] for k, f in zip(kinds, feats)], dtype=object)
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or x is None else masked_text(t, [(s["from"], s["to"], s["pii_type"]) for s in x]) for t, x in zip(texts, spans)], dtype=object)
+
+    found = candidates.select("rec_id", "seg_idx", "from", "to", decided("kind", "feats").alias("pii_type")).where(F.col("pii_type") != TYPES[NONE])
+    spans = found.groupBy("rec_id", "seg_idx").agg(F.collect_list(F.struct("from", "to", "pii_type")).alias("spans"))
+    return own.join(spans, ["rec_id", "seg_idx"], "left").select("rec_id", "seg_idx", put("text", "spans").alias("masked"))
