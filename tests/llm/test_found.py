@@ -169,8 +169,19 @@ def test_turns_by_hand(spark):
 
 
 def test_label_clusters():
-    got = speaker_turns.clusters(["SPEAKER_01", "s1", "locuteur 1", "2", "n/a", "unknown"])
-    assert got == {"SPEAKER_01": 1, "s1": 1, "locuteur 1": 1, "2": 2, "n/a": None, "unknown": None}
+    got = speaker_turns.clusters(["SPEAKER_01", "s1", "locuteur 1", "2", "n/a", "unknown", "Marie Dupont", "marie dupond", "Marc Ferrand", "inconnu 3"])
+    numbered = {"SPEAKER_01": 1, "s1": 1, "locuteur 1": 1, "2": 2}
+    assert {x: n for x, (n, _) in got.items() if n is not None} == numbered
+    assert got["n/a"] == got["unknown"] == got["inconnu 3"] == (None, None)
+    assert got["Marie Dupont"] == got["marie dupond"] != got["Marc Ferrand"] and all(got[x][1] for x in ("Marie Dupont", "Marc Ferrand"))
+
+
+def test_canonical_turns(spark):
+    """Named labels cluster by initial and similarity and have turns of their own; numbered turns are not cut by them."""
+    rows = [(1, 1, 0.0, 1.0, "oui", "Marie Dupont"), (1, 2, 1.0, 2.0, "non", "marie dupond"), (1, 3, 2.0, 3.0, "si", "S1"), (1, 4, 3.0, 4.0, "ah", "Marc"), (1, 5, 4.0, 5.0, "bon", "spk 1"), (1, 6, 5.0, 6.0, "rien", "?")]
+    got = sorted((r.first_seg_idx, r.last_seg_idx, r.canonical) for r in speaker_turns.canonical_turns(asr(spark, rows)).collect())
+    assert [g[:2] for g in got] == [(1, 2), (3, 3), (4, 4), (5, 5)] and [g[2] for g in got][1::2] == ["1", "1"]
+    assert [(r.first_seg_idx, r.last_seg_idx, r.speaker) for r in speaker_turns.speaker_turns(asr(spark, rows)).collect()] == [(3, 5, 1)]
 
 
 CATALOG = [("Zoé Marvalgier", "PERSON"), ("Victor", "PER"), (" rose marvalgier ", None), ("Pyxilis", "ORG"), (None, "PERSON"), ("Ostrerinel", "LOC")]
@@ -280,6 +291,42 @@ def test_leaks(spark):
     assert leaked(spark, texts, [(2, None, None)]) == [] and leaked(spark, []) == []
 
 
+def test_leaks_of_common_words(spark):
+    """An item whose words are in most documents carries no weight and is still found; long markup is none of the words."""
+    common = "the part of the device is in the housing and the cover is on the side of the base".split()
+    item = " ".join(common)
+    texts = [f"Text {i}. " + " ".join(common[k:] + common[:k]) for i, k in enumerate([3, 5, 7, 9, 11, 13] * 60)] + ["So " + item + ".", '<a href="' + "x" * 300 + '">'.join(["", *ITEM.split()[:14]])]
+    got = leaked(spark, texts, [(1, ITEM, "C"), (5, item, None)])
+    assert (360, 5) in got and (361, 1) in got
+
+
+def test_chain_is_not_hidden():
+    """A stray triple between two long blocks changes nothing."""
+    block = [(i, i) for i in range(298)] + [(i + 301, i + 301) for i in range(298)]
+    assert leaks.longest_chain(np.array(block).T)[0] == 601
+    assert leaks.longest_chain(np.array(block + [(5, 250)]).T)[0] == 601
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        a, b = (rng.integers(1, 5, rng.integers(0, 12)).tolist() for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert leaks.common_subsequence(a, b) == row[-1]
+
+
+def test_paraphrase_needs_the_answer(spark):
+    words = ITEM.split()
+    changed = [w if i % 4 != 3 else "xx" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(changed) + " answer: mandrel oil"), (2, " ".join(changed))] + [(10 + i, "The valve of the pump is closed.") for i in range(400)], "doc_id bigint, text string")
+    found = leaks.leaked_items(docs, spark.createDataFrame([(1, ITEM, "mandrel oil")], "item_id bigint, text string, answer string"))
+    assert [(r.doc_id, r.kind) for r in found.collect()] == [(1, "paraphrase")]
+
+
 def test_leaks_against_brute_force(spark, small, con):
     """Retrieval loses nothing that comparing every document with every item finds."""
     items = leaks.Items(con.execute("SELECT item_id, text, answer FROM eval_items WHERE text IS NOT NULL").fetchall())
@@ -387,6 +434,26 @@ def test_nearest_by_hand(spark, tmp_path):
     assert sorted(got) == [(1, 1, 9, 300), (1, 2, 7, 100), (1, 6, 5, 250), (1, 7, 6, 100), (9, 1, 1, 250)]
 
 
+def test_nearest_over_several_batches(spark, tmp_path):
+    """Files that come one a batch and out of order give the rows of one batch, if the lateness covers their disorder."""
+    left = [(1, i, float(i), i + 1.0, "x", "S1") for i in range(40)]
+    right = [(1, i, i + 0.1 * (i % 4), i + 1.0, 1) for i in range(40)]
+    kind = "rec_id bigint, seg_idx bigint, start_s double, end_s double, speaker int"
+    for k in (3, 0, 2, 1):  # later times first
+        asr(spark, left[10 * k : 10 * k + 10]).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+        spark.createDataFrame(right[10 * (3 - k) : 10 * (3 - k) + 10], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+
+    def run(n, files, lateness):
+        stream = lambda t: nearest_time.table_stream(spark.read.parquet(str(tmp_path / t)), str(tmp_path / t), files)
+        rows = nearest_time.nearest_diarization(stream("a"), stream("d"), str(tmp_path / f"end{n}"), lateness_ms=lateness).collect()
+        assert len(rows) == len(set(rows))
+        return {(r.asr_seg_idx, r.diar_seg_idx, r.distance_ms) for r in rows}
+
+    whole = run(0, None, 0)
+    assert len(whole) == 40 and run(1, 1, 60_000) == whole
+    assert run(2, 1, 0) < whole  # without lateness rows behind the watermark are dropped
+
+
 def test_pairs_by_hand(spark):
     rows = [(1, 5, 0.0, 1.0, "Oui, oui", "1"), (1, 2, 0.0, 1.0, "Oｕi, oui", "1"), (1, 9, 0.0, 1.0, "Oui,  oui​", "1"), (1, 7, None, None, "Oui, oui", None), (1, 3, 0.0, 1.0, "oui, oui", "1"), (1, 4, 0.0, 1.0, None, "1"), (1, 6, 0.0, 1.0, "​", "1"), (1, 8, 0.0, 1.0, " ", "1"), (2, 1, 0.0, 1.0, "Oui , oui", "1")]
     got = sorted((r.seg_idx_a, r.seg_idx_b) for r in plain_text.same_reading(asr(spark, rows + rows[:2])).collect())

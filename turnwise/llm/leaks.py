@@ -4,7 +4,8 @@ Latent semantic retrieval: documents are cut into overlapping passages of words,
 words of the items gets a distributed randomised SVD (sketches of its Gram matrix are summed over all partitions), and
 each passage's latent vector is compared with those of the items' windows by cosine.  Candidates are then checked by the
 longest chain of common successive words, which tolerates a single changed, missing, repeated or broken word between
-blocks of three or more equal words, and for the item's answer near the passage.
+blocks of three or more equal words; what has no such chain is a paraphrase if most of the item's words follow in order
+(longest common subsequence) and the item's answer comes with them.
 
 Words are compared without case, accents, punctuation, invisible and look-alike characters, markup and bracketed
 numbers.  Statistics and search cover every word of every document.  The items are few and fixed (held-out tests);
@@ -35,13 +36,13 @@ LEAST = 12
 PASSAGE, STRIDE = 32, 16
 RANK, EXTRA = 64, 8
 ITEM_BLOCK = 2_000
-#: Words in more than this share of the passages carry no weight.
+#: Words in more than this share of the passages carry no weight; items of such words alone are searched word by word.
 COMMON = 0.05
 #: The least cosine of a candidate passage with an item's window.
 COSINE = 0.45
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"[\[({]\s*\d+\s*[\])}]")
-_MARKUP = re.compile(r"<[^<>\n]{1,80}>|&(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]{1,6});")
+_MARKUP = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]{1,6});")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐‑­]\s*\n\s*(?=[^\W\d_])")
 _UNSEEN_SIGNS = "\u00ad\u034f\u061c\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufe0f\ufeff"
 _UNSEEN = re.compile("[­͏​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -135,11 +136,11 @@ def passages(ids: list[np.ndarray], stride: int) -> tuple[np.ndarray, np.ndarray
     for back in range(PASSAGE // stride):
         index = place // stride - back
         ok = (index >= 0) & (index < per_doc[doc[at]])
-        pairs.append((base[:-1][doc[at[ok]]] + index[ok]) * (1 << 20) + flat[at[ok]])
+        pairs.append((base[:-1][doc[at[ok]]] + index[ok]) * (1 << 32) + flat[at[ok]])
     key, count = np.unique(np.concatenate(pairs), return_counts=True)
     owner = np.repeat(np.arange(len(ids)), per_doc)
     start = (np.arange(base[-1]) - base[:-1][owner]) * stride
-    return key >> 20, key & ((1 << 20) - 1), count, np.stack([owner, start])
+    return key >> 32, key & ((1 << 32) - 1), count, np.stack([owner, start])
 
 
 def latent(passage: np.ndarray, word: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,7 @@ def idf_of(docs: DataFrame, size: int) -> np.ndarray:
     for r in found:
         n[r["word"]] = r["n"]
     idf = np.log(max(1.0, n[0]) / n)
-    idf[(n > COMMON * n[0]) & (n[0] > 1000)] = 0.0
+    idf[n > COMMON * n[0]] = 0.0
     idf[0] = 0.0
     return idf.astype(np.float32)
 
@@ -301,17 +302,14 @@ def longest_chain(hits: np.ndarray) -> tuple[int, int, int]:
     other nouns share short blocks, but change too often.  A chain's blocks are a common subsequence of item and document.
     """
     best = (0, 0, 0)
-    ends: list[tuple[int, int, list[tuple[int, int, int]]]] = []  # end in document, end in item, chains: (edits, item start, document start)
+    ends: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = {}  # by end in document: end in item, chains: (edits, item start, document start)
     for q, p, n in blocks_of(hits):
         chains = [(0, p, q)]
-        for qe, pe, before in reversed(ends):
-            if q - qe > 2:
-                if q - qe > 200:
-                    break
-                continue
-            over = max(0, qe - q, pe - p)
-            if over < n and (p + over - pe, q + over - qe) in EDITS:
-                chains += [(edits + 1, s, f) for edits, s, f in before]
+        for qe in range(q - 2, q + n):
+            for pe, before in ends.get(qe, ()):
+                over = max(0, qe - q, pe - p)
+                if over < n and (p + over - pe, q + over - qe) in EDITS:
+                    chains += [(edits + 1, s, f) for edits, s, f in before]
         chains.sort()
         kept: list[tuple[int, int, int]] = []
         for edits, s, f in chains:
@@ -319,14 +317,53 @@ def longest_chain(hits: np.ndarray) -> tuple[int, int, int]:
                 kept.append((edits, s, f))
                 if p + n - s > best[0] and edits <= (p + n - s) // EVERY:
                     best = (p + n - s, f, q + n)
-        ends.append((q + n, p + n, kept))
+        ends.setdefault(q + n, []).append((p + n, kept))
     return best
 
 
+def common_subsequence(a: list[int], b: list[int]) -> int:
+    """The length of the longest common subsequence, by bit rows (one step a word of ``b``)."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    row = (1 << len(a)) - 1
+    for x in b:
+        if (m := at.get(x, 0)) and x:
+            row = (row + (row & m) | row & ~m) & (1 << len(a)) - 1
+    return len(a) - row.bit_count()
+
+
+def holds(words_: np.ndarray, answer: list[int]) -> bool:
+    """Whether the words of ``answer`` stand together in ``words_``."""
+    n = len(answer)
+    if not n or len(words_) < n:
+        return False
+    same = words_[: len(words_) - n + 1] == answer[0]
+    for k in range(1, n):
+        same = same & (words_[k : len(words_) - n + 1 + k] == answer[k])
+    return bool(same.any())
+
+
+#: A paraphrase: the cosine of its passage, at least, and the share of the item's words that follow in order, at least.
+PARAPHRASE, FOLLOWED = 0.8, 0.6
+
+
 def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
-    """The search over encoded documents: doc_id, item_id, n_words, cosine, answer_near."""
+    """The search over encoded documents: doc_id, item_id, kind, n_words, cosine, answer_near.
+
+    ``copy``: a chain of LEAST words or more.  ``paraphrase``: no such chain, but a passage of high cosine holds most of the
+    item's words in their order, and the item's answer stands in it or behind it.
+    """
     vectors, owner, fewest = items.windows(idf, basis)
     keys, index = items.triples[0], items.triples[1:]
+    # Items of which LEAST words may carry hardly any weight have no latent vector to be found by: their triples decide.
+    plain = np.unique(owner[fewest <= 2])
+    plain_keys = np.unique(keys[np.isin(index[0], plain)]) if len(plain) else keys[:0]
+
+    def triples_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = (t[:-2] * items.size + t[1:-1]) * items.size + t[2:]
+        ok = np.flatnonzero((t[:-2] > 0) & (t[1:-1] > 0) & (t[2:] > 0))
+        return key, ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids in _chunks(batches):
@@ -335,13 +372,16 @@ def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
             some = weight > 0
             passage, word, weight = passage[some], word[some], weight[some].astype(np.float32)
             z, numbers = latent(passage, word, weight, basis)
-            if not len(numbers):
-                continue
+            candidates: dict[int, dict[int, tuple[float, int]]] = {}
+            if len(plain_keys):
+                for doc, words_ in enumerate(ids):
+                    key, ok = triples_of(words_.astype(np.int64))
+                    if len(ok) >= LEAST // 2 and np.isin(key[ok], plain_keys).sum() >= LEAST // 2:
+                        candidates[doc] = {int(i): (0.0, 0) for i in plain}
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
             # LEAST words with an edit or two hold all but two of a window's words: passages that hold fewer weighted
             # words than that are not compared with the window.
-            held = np.bincount(passage, minlength=where.shape[1])[numbers]
-            candidates: dict[int, dict[int, float]] = {}
+            held = np.bincount(passage, minlength=where.shape[1])[numbers] if len(numbers) else numbers
             for h in np.unique(held):
                 some = np.flatnonzero(held == h)
                 upto = int(np.searchsorted(fewest, h + 2, "right"))
@@ -351,42 +391,51 @@ def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
                     close = np.flatnonzero(near.max(axis=1) >= COSINE)
                     near = near[close]
                     a, b = np.nonzero(near >= COSINE)
-                    for doc, item, value in zip(where[0][numbers[rows[close[a]]]].tolist(), owner[b].tolist(), near[a, b].tolist()):
+                    of_doc, start = where[:, numbers[rows[close[a]]]]
+                    for doc, item, value, at in zip(of_doc.tolist(), owner[b].tolist(), near[a, b].tolist(), start.tolist()):
                         of = candidates.setdefault(doc, {})
-                        if of.get(item, 0.0) < value:
-                            of[item] = value
+                        if of.get(item, (-1.0, 0))[0] < value:
+                            of[item] = value, at
             rows = []
             for doc, of in candidates.items():
                 t = ids[doc].astype(np.int64)
-                key = (t[:-2] * items.size + t[1:-1]) * items.size + t[2:]
-                ok = np.flatnonzero((t[:-2] > 0) & (t[1:-1] > 0) & (t[2:] > 0))
+                key, ok = triples_of(t)
                 low, high = np.searchsorted(keys, key[ok], "left"), np.searchsorted(keys, key[ok], "right")
                 many = high - low
-                if not many.any():
-                    continue
-                at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                of_item, p, q = index[0][at], index[1][at], np.repeat(ok, many)
-                for item, n_hits in zip(*np.unique(of_item, return_counts=True)):
-                    # LEAST words with one edit hold six equal triples at least.
-                    if n_hits < LEAST // 2 or item not in of:
-                        continue
-                    mine = of_item == item
-                    n, begin, end = longest_chain(np.stack([p[mine], q[mine]]))
-                    if n >= LEAST:
-                        answer, after = items.answers[item], t[end : end + 40].tolist()
-                        said = bool(answer) and any(after[k : k + len(answer)] == answer for k in range(len(after)))
-                        rows.append((part.column(0)[doc].as_py(), items.ids[item], n, of[item], said))
+                copied = set()
+                if many.any():
+                    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    of_item, p, q = index[0][at], index[1][at], np.repeat(ok, many)
+                    for item, n_hits in zip(*np.unique(of_item, return_counts=True)):
+                        # LEAST words with one edit hold six equal triples at least.
+                        if n_hits < LEAST // 2 or item not in of:
+                            continue
+                        mine = of_item == item
+                        n, _, end = longest_chain(np.stack([p[mine], q[mine]]))
+                        if n >= LEAST:
+                            copied.add(item)
+                            rows.append((part.column(0)[doc].as_py(), items.ids[item], "copy", n, of[item][0], holds(t[end:], items.answers[item])))
+                for item, (value, start) in of.items():
+                    if value >= PARAPHRASE and item not in copied and items.answers[item]:
+                        own = items.texts[item].tolist()
+                        stretch = t[max(0, start - len(own)) : start + PASSAGE + len(own)]
+                        n = common_subsequence(own, stretch.tolist())
+                        if n >= max(LEAST, FOLLOWED * len(own)) and holds(t[max(0, start - len(own)) :], items.answers[item]):
+                            rows.append((part.column(0)[doc].as_py(), items.ids[item], "paraphrase", n, value, True))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "n_words", "cosine", "answer_near"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "kind", "n_words", "cosine", "answer_near"])
 
     return run
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words (the longest chain), cosine (rounded), answer_near for each leak."""
+    """doc_id, item_id, kind, n_words (of the longest chain or subsequence), cosine (rounded), answer_near for each leak.
+
+    A document that both copies and paraphrases an item (in rows of equal doc_id) counts as a copy.
+    """
     spark = documents.sparkSession
-    schema = "doc_id bigint, item_id bigint, n_words bigint, cosine double, answer_near boolean"
+    schema = "doc_id bigint, item_id bigint, kind string, n_words bigint, cosine double, answer_near boolean"
     found = spark.createDataFrame([], schema)
     rows = iter(items.select("item_id", "text", "answer").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator())
     while block := [tuple(r) for r in islice(rows, ITEM_BLOCK)]:
@@ -396,5 +445,5 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         docs = encoded(documents, of.vocabulary)
         idf = idf_of(docs, of.size)
         found = found.unionByName(docs.mapInArrow(leak_finder(of, idf, latent_basis(docs, idf)), schema))
-    best = found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("cosine").alias("cosine"), F.max("answer_near").alias("answer_near"))
+    best = found.groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"), F.max(F.struct(F.col("kind") == "copy", "n_words"))["n_words"].alias("n_words"), F.max("cosine").alias("cosine"), F.max("answer_near").alias("answer_near"))
     return best.withColumn("cosine", F.round("cosine", 3))

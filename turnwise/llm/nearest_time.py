@@ -136,16 +136,25 @@ def nearest_stream(rows: DataFrame, entity: list[str], tolerance_ms: int = TOLER
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(entity)], "left_id", "right_id", "distance_ms")
 
 
-def replayed(tables: list[DataFrame], ending: DataFrame, entity: list[str], tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
-    """The streaming join over bounded streams, run to its end; its result is kept in the shared folder."""
+def replayed(tables: list[DataFrame], ending: DataFrame, ending_at: str, entity: list[str], tolerance_ms: int = TOLERANCE_MS, lateness_ms: int = 0) -> DataFrame:
+    """The streaming join over bounded streams, run to its end; its result is kept in the shared folder.
+
+    ``ending`` streams the folder ``ending_at``, which is still empty: the row that lets the rest time out is written there
+    when all batches are done, and the query goes on from its state.  Streams may come in any number of micro-batches;
+    rows that arrive up to ``lateness_ms`` out of order between batches are joined as if they came in one.
+    """
     spark = ending.sparkSession
     rows = tables[0]
     for other in [*tables[1:], ending]:
         rows = rows.unionByName(other)
-    joined = nearest_stream(rows, entity, tolerance_ms)
+    joined = nearest_stream(rows, entity, tolerance_ms, lateness_ms)
     result, at = scratch(spark, "nearest"), scratch(spark, "nearest-state")
-    query = joined.writeStream.format("parquet").option("path", result).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for last in (False, True):
+        if last:
+            values = {"is_left": F.lit(True), "id": F.lit(0).cast("long"), "at_ms": F.lit(END_MS)} | {c: F.lit(END if c == entity[0] else 0).cast("long") for c in entity}
+            spark.range(1).select(*[values[c].alias(c) for c in ending.columns]).write.mode("append").parquet(ending_at)
+        query = joined.writeStream.format("parquet").option("path", result).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(joined.schema).parquet(result)
 
 
@@ -155,23 +164,26 @@ def side(segments: DataFrame, is_left: bool, speaker: Column) -> DataFrame:
     return segments.select("rec_id", speaker.cast("long").alias("speaker"), F.lit(is_left).alias("is_left"), F.col("seg_idx").alias("id"), start.alias("at_ms"))
 
 
-def nearest_diarization(asr: DataFrame, diar: DataFrame, ending_at: str, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
+def nearest_diarization(asr: DataFrame, diar: DataFrame, ending_at: str, tolerance_ms: int = TOLERANCE_MS, lateness_ms: int = 0) -> DataFrame:
     """For each ASR segment the diarization segment with the nearest start: rec_id, speaker, asr_seg_idx, diar_seg_idx, distance_ms.
 
-    ``asr`` and ``diar`` are streams of the tables; ``ending_at`` is a folder for the row that ends the replay.
+    ``asr`` and ``diar`` are streams of the tables; ``ending_at`` is a new folder for the row that ends the replay.
     """
     spark = asr.sparkSession
-    last = spark.range(1).select(F.lit(END).alias("rec_id"), F.lit(0).cast("long").alias("speaker"), F.lit(True).alias("is_left"), F.lit(0).cast("long").alias("id"), F.lit(END_MS).alias("at_ms"))
-    last.write.mode("overwrite").parquet(ending_at)
-    ending = spark.readStream.schema(last.schema).parquet(ending_at)
+    schema = "rec_id bigint, speaker bigint, is_left boolean, id bigint, at_ms bigint"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(ending_at)
+    ending = spark.readStream.schema(schema).parquet(ending_at)
     left, right = side(asr, True, speaker_number(F.col("speaker"))), side(diar, False, F.col("speaker"))
-    found = replayed([left, right], ending, ["rec_id", "speaker"], tolerance_ms)
+    found = replayed([left, right], ending, ending_at, ["rec_id", "speaker"], tolerance_ms, lateness_ms)
     return found.select("rec_id", "speaker", F.col("left_id").alias("asr_seg_idx"), F.col("right_id").alias("diar_seg_idx"), "distance_ms")
 
 
-def table_stream(df: DataFrame, path: str) -> DataFrame:
+def table_stream(df: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The Parquet table at ``path``, a file or a folder, as a stream with the columns of ``df``.
 
     A file stream takes a single file only by a pattern; this one matches nothing but the path itself.
     """
-    return df.sparkSession.readStream.schema(df.schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = df.sparkSession.readStream.schema(df.schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.functions.segments import one_per_segment
+from turnwise.sources.tables import written
 
 # Letters of other scripts that read as a Latin letter, each followed by that letter.
 LOOK_ALIKES = {
@@ -71,7 +72,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.table({"t": batch.column(batch.num_columns - 1)})
         db.register("texts", texts)
-        done = db.execute(f"SELECT {plain_sql('t')} AS t FROM texts").to_arrow_table().column("t").combine_chunks()
+        done = db.sql(f"SELECT {plain_sql('t')} AS t FROM texts").to_arrow_table().column("t").combine_chunks()
         db.unregister("texts")
         yield pa.RecordBatch.from_arrays([*batch.columns, done.cast(pa.string())], [*batch.schema.names, "_plain"])
 
@@ -86,22 +87,28 @@ def with_plain_text(df: DataFrame, text: str, into: str = "plain_text") -> DataF
     return done.select(*[back[c] for c in df.columns], F.col("_plain").alias(into))
 
 
+def reading_classes(segments: DataFrame) -> DataFrame:
+    """rec_id, seg_idx, form, way of each segment with a non-blank text, written once: hashes of how it reads (128 bits)
+    and, within that, of how it is written (64 bits)."""
+    slim = one_per_segment(segments.select("rec_id", "seg_idx", "text", *[c for c in ("arrived_at",) if c in segments.columns]), ["text"])
+    plain = with_plain_text(slim.where(F.col("text").isNotNull()), "text").where(F.col("plain_text") != "")
+    form = F.struct(F.xxhash64("plain_text").alias("a"), F.xxhash64(F.lit(7), "plain_text").alias("b"))
+    return written(plain.select("rec_id", "seg_idx", form.alias("form"), F.xxhash64("text").alias("way")), "readings")
+
+
 def same_reading(segments: DataFrame) -> DataFrame:
     """Pairs of segments of one recording whose non-blank texts differ but read the same: rec_id, seg_idx_a, seg_idx_b.
 
-    Texts meet as 128 bits of their hash, by (recording, consistent form), so a recording that holds a third of the rows
-    is spread.  Only forms written in two or more ways go on; the ways are paired, not the segments, so that copies of
-    one text never meet each other.
+    Texts meet by (recording, consistent form), so a recording that holds a third of the rows is spread.  Only forms
+    written in two or more ways go on, which are few; the ways are paired, not the segments, so that copies of one text
+    never meet each other.  ``reading_classes`` has the membership without pairs.
     """
-    slim = one_per_segment(segments.select("rec_id", "seg_idx", "text", *[c for c in ("arrived_at",) if c in segments.columns]), ["text"])
-    plain = with_plain_text(slim.where(F.col("text").isNotNull()), "text").where(F.col("plain_text") != "")
-    hashed = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
-    keyed = plain.select("rec_id", "seg_idx", hashed(F.col("plain_text")).alias("form"), hashed(F.col("text")).alias("way"))
-    ways = keyed.groupBy("rec_id", "form").agg(F.min("way").alias("low"), F.max("way").alias("high")).where(F.col("low") != F.col("high")).select("rec_id", "form")
-    several = keyed.join(ways, ["rec_id", "form"])
-    classes = several.select("rec_id", "form", "way").distinct()
-    pairs = classes.withColumnRenamed("way", "way_a").join(classes.withColumnRenamed("way", "way_b"), ["rec_id", "form"]).where(F.col("way_a") < F.col("way_b"))
-    a = several.select("rec_id", "form", F.col("way").alias("way_a"), F.col("seg_idx").alias("seg_a"))
-    b = several.select("rec_id", "form", F.col("way").alias("way_b"), F.col("seg_idx").alias("seg_b"))
+    keyed = reading_classes(segments)
+    several = keyed.groupBy("rec_id", "form").agg(F.min("way").alias("low"), F.max("way").alias("high")).where(F.col("low") != F.col("high")).select("rec_id", "form")
+    members = written(keyed.join(several, ["rec_id", "form"]), "several-ways")
+    ways = members.select("rec_id", "form", "way").distinct()
+    pairs = ways.withColumnRenamed("way", "way_a").join(ways.withColumnRenamed("way", "way_b"), ["rec_id", "form"]).where(F.col("way_a") < F.col("way_b"))
+    a = members.select("rec_id", "form", F.col("way").alias("way_a"), F.col("seg_idx").alias("seg_a"))
+    b = members.select("rec_id", "form", F.col("way").alias("way_b"), F.col("seg_idx").alias("seg_b"))
     met = pairs.join(a, ["rec_id", "form", "way_a"]).join(b, ["rec_id", "form", "way_b"])
     return met.select("rec_id", F.least("seg_a", "seg_b").alias("seg_idx_a"), F.greatest("seg_a", "seg_b").alias("seg_idx_b"))

@@ -29,6 +29,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns.speaker_turns(table(spark, sf_dir, "asr_segments")).select("rec_id", "speaker", "first_seg_idx", "last_seg_idx").distinct()
 
 
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speaker_turns.canonical_turns(table(spark, sf_dir, "asr_segments"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.found_types(table(spark, sf_dir, "asr_segments"), table(spark, sf_dir, "entity_catalog"))
 
@@ -42,7 +46,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("kind = 'copy'").select("item_id", "doc_id")
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p4_found, p5_found, p6_found, p6_masked, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p4_found, p5_found, p5_turns, p6_found, p6_masked, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates)}
 
 #: The segments of asr_segments with both bounds and a known speaker, one row each.
 _ASR = """
