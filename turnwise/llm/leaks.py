@@ -36,6 +36,8 @@ LEAST = 12
 PASSAGE, STRIDE = 32, 16
 RANK, EXTRA = 64, 8
 ITEM_BLOCK = 2_000
+#: Distinct words of a block of items, less than this; a block with more is halved.
+MOST = 1 << 21
 #: Words in more than this share of the passages carry no weight; items of such words alone are searched word by word.
 COMMON = 0.05
 #: The least cosine of a candidate passage with an item's window.
@@ -355,73 +357,87 @@ def leak_finder(items: Items, idf: np.ndarray, basis: np.ndarray):
     item's words in their order, and the item's answer stands in it or behind it.
     """
     vectors, owner, fewest = items.windows(idf, basis)
-    keys, index = items.triples[0], items.triples[1:]
+    keys, (item_of, place_of) = items.triples[0], items.triples[1:]
+    n_items = len(items.ids)
     # Items of which LEAST words may carry hardly any weight have no latent vector to be found by: their triples decide.
-    plain = np.unique(owner[fewest <= 2])
-    plain_keys = np.unique(keys[np.isin(index[0], plain)]) if len(plain) else keys[:0]
-
-    def triples_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (t[:-2] * items.size + t[1:-1]) * items.size + t[2:]
-        ok = np.flatnonzero((t[:-2] > 0) & (t[1:-1] > 0) & (t[2:] > 0))
-        return key, ok
+    plain = np.zeros(n_items, bool)
+    plain[owner[fewest <= 2]] = True
+
+    def near_pairs(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item) of passages and windows with a close cosine, as sorted numbers, with the best cosine and its place."""
+        passage, word, count, where = passages(ids, STRIDE)
+        weight = count * idf[word]
+        some = weight > 0
+        passage, word, weight = passage[some], word[some], weight[some].astype(np.float32)
+        z, numbers = latent(passage, word, weight, basis)
+        found = [(np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64))]
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        # LEAST words with an edit or two hold all but two of a window's words: passages that hold fewer weighted
+        # words than that are not compared with the window.
+        held = np.bincount(passage, minlength=where.shape[1])[numbers] if len(numbers) else numbers
+        for h in np.unique(held):
+            some = np.flatnonzero(held == h)
+            upto = int(np.searchsorted(fewest, h + 2, "right"))
+            for k in range(0, len(some), 1024) if upto else ():
+                rows = some[k : k + 1024]
+                near = z[rows] @ vectors[:upto].T
+                close = np.flatnonzero(near.max(axis=1) >= COSINE)
+                near = near[close]
+                a, b = np.nonzero(near >= COSINE)
+                doc, start = where[:, numbers[rows[close[a]]]]
+                found.append((doc * n_items + owner[b], near[a, b], start))
+        pair, value, start = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-value, pair))
+        first = order[np.concatenate([[True], np.diff(pair[order]) != 0])] if len(order) else order
+        return pair[first], value[first], start[first]
+
+    def common_triples(ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """(document, item) as a number and the places of their equal triples (in item, in document), where there are enough."""
+        lengths = np.array([len(x) for x in ids], np.int64)
+        first = np.cumsum(lengths) - lengths
+        flat, doc = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), lengths)
+        if len(flat) < 3:
+            return
+        at = np.flatnonzero((flat[:-2] > 0) & (flat[1:-1] > 0) & (flat[2:] > 0) & (doc[:-2] == doc[2:]))
+        key = (flat[at] * items.size + flat[at + 1]) * items.size + flat[at + 2]
+        low = np.searchsorted(keys, key, "left")
+        met = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == key)
+        at, key, low = at[met], key[met], low[met]
+        many = np.searchsorted(keys, key, "right") - low
+        each = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(at, many)
+        pair = doc[at] * n_items + item_of[each]
+        order = np.argsort(pair, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0])) if len(order) else order
+        for a, b in zip(starts, [*starts[1:], len(order)]):
+            # LEAST words with one edit hold six equal triples at least.
+            if b - a >= LEAST // 2:
+                rows = order[a:b]
+                yield int(pair[rows[0]]), np.stack([place_of[each[rows]], at[rows] - first[doc[at[rows]]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids in _chunks(batches):
-            passage, word, count, where = passages(ids, STRIDE)
-            weight = count * idf[word]
-            some = weight > 0
-            passage, word, weight = passage[some], word[some], weight[some].astype(np.float32)
-            z, numbers = latent(passage, word, weight, basis)
-            candidates: dict[int, dict[int, tuple[float, int]]] = {}
-            if len(plain_keys):
-                for doc, words_ in enumerate(ids):
-                    key, ok = triples_of(words_.astype(np.int64))
-                    if len(ok) >= LEAST // 2 and np.isin(key[ok], plain_keys).sum() >= LEAST // 2:
-                        candidates[doc] = {int(i): (0.0, 0) for i in plain}
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-            # LEAST words with an edit or two hold all but two of a window's words: passages that hold fewer weighted
-            # words than that are not compared with the window.
-            held = np.bincount(passage, minlength=where.shape[1])[numbers] if len(numbers) else numbers
-            for h in np.unique(held):
-                some = np.flatnonzero(held == h)
-                upto = int(np.searchsorted(fewest, h + 2, "right"))
-                for k in range(0, len(some), 1024) if upto else ():
-                    rows = some[k : k + 1024]
-                    near = z[rows] @ vectors[:upto].T
-                    close = np.flatnonzero(near.max(axis=1) >= COSINE)
-                    near = near[close]
-                    a, b = np.nonzero(near >= COSINE)
-                    of_doc, start = where[:, numbers[rows[close[a]]]]
-                    for doc, item, value, at in zip(of_doc.tolist(), owner[b].tolist(), near[a, b].tolist(), start.tolist()):
-                        of = candidates.setdefault(doc, {})
-                        if of.get(item, (-1.0, 0))[0] < value:
-                            of[item] = value, at
-            rows = []
-            for doc, of in candidates.items():
-                t = ids[doc].astype(np.int64)
-                key, ok = triples_of(t)
-                low, high = np.searchsorted(keys, key[ok], "left"), np.searchsorted(keys, key[ok], "right")
-                many = high - low
-                copied = set()
-                if many.any():
-                    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    of_item, p, q = index[0][at], index[1][at], np.repeat(ok, many)
-                    for item, n_hits in zip(*np.unique(of_item, return_counts=True)):
-                        # LEAST words with one edit hold six equal triples at least.
-                        if n_hits < LEAST // 2 or item not in of:
-                            continue
-                        mine = of_item == item
-                        n, _, end = longest_chain(np.stack([p[mine], q[mine]]))
-                        if n >= LEAST:
-                            copied.add(item)
-                            rows.append((part.column(0)[doc].as_py(), items.ids[item], "copy", n, of[item][0], holds(t[end:], items.answers[item])))
-                for item, (value, start) in of.items():
-                    if value >= PARAPHRASE and item not in copied and items.answers[item]:
-                        own = items.texts[item].tolist()
-                        stretch = t[max(0, start - len(own)) : start + PASSAGE + len(own)]
-                        n = common_subsequence(own, stretch.tolist())
-                        if n >= max(LEAST, FOLLOWED * len(own)) and holds(t[max(0, start - len(own)) :], items.answers[item]):
-                            rows.append((part.column(0)[doc].as_py(), items.ids[item], "paraphrase", n, value, True))
+            pair, cosine, start = near_pairs(ids)
+            rows, copied = [], set()
+            for number, hits in common_triples(ids):
+                doc, item = divmod(number, n_items)
+                k = int(np.searchsorted(pair, number))
+                known = k < len(pair) and pair[k] == number
+                if not known and not plain[item]:
+                    continue
+                n, _, end = longest_chain(hits)
+                if n >= LEAST:
+                    copied.add(number)
+                    rows.append((part.column(0)[doc].as_py(), items.ids[item], "copy", n, float(cosine[k]) if known else 0.0, holds(ids[doc][end:], items.answers[item])))
+            for k in np.flatnonzero(cosine >= PARAPHRASE):
+                doc, item = divmod(int(pair[k]), n_items)
+                if int(pair[k]) not in copied and items.answers[item]:
+                    own, t = items.texts[item].tolist(), ids[doc]
+                    begin = max(0, int(start[k]) - len(own))
+                    if holds(t[begin:], items.answers[item]):
+                        n = common_subsequence(own, t[begin : int(start[k]) + PASSAGE + len(own)].tolist())
+                        if n >= max(LEAST, FOLLOWED * len(own)):
+                            rows.append((part.column(0)[doc].as_py(), items.ids[item], "paraphrase", n, float(cosine[k]), True))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "kind", "n_words", "cosine", "answer_near"])
@@ -437,9 +453,15 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, kind string, n_words bigint, cosine double, answer_near boolean"
     found = spark.createDataFrame([], schema)
+    blocks: list[list[tuple]] = []
     rows = iter(items.select("item_id", "text", "answer").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator())
-    while block := [tuple(r) for r in islice(rows, ITEM_BLOCK)]:
+    while block := blocks.pop() if blocks else [tuple(r) for r in islice(rows, ITEM_BLOCK)]:
         of = Items(block)
+        if of.size >= MOST and len(block) > 1:  # three word numbers must fit one key
+            blocks += [block[: len(block) // 2], block[len(block) // 2 :]]
+            continue
+        if of.size >= MOST:
+            raise ValueError(f"item {block[0][0]} has {of.size} distinct words; {MOST} are too many")
         if not of.ids:
             continue
         docs = encoded(documents, of.vocabulary)
