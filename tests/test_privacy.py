@@ -266,3 +266,18 @@ def test_restore_tolerates(spark):
     keys = spark.createDataFrame([(1, "Élise Brun", "Ana Roux"), (1, "Alizé Conseil", "Novalis"), (1, "<PERSON_1>", "Ana Roux")], "doc_id bigint, key string, value string")
     assert entities.restored(docs, keys).first().text == "Ana Roux chez Novalis, et Ana Roux"
     assert one(spark, entities.label_of_tag, "<PERSON_12>") == "PERSON" and one(spark, entities.label_of_tag, "x") == ""
+
+
+def test_report_blocks(spark):
+    from turnwise.operators.turns import report_blocks
+
+    docs = spark.createDataFrame([(1, "intro\nnext\n\n### Title \nbody\n### Two\r\n\nlast"), (2, ""), (3, None)], "doc_id bigint, text string")
+    got = [tuple(r) for r in report_blocks(docs).orderBy("doc_id", "block").collect()]
+    assert got == [(1, 1, "paragraph", "intro next"), (1, 2, "heading", "Title"), (1, 3, "paragraph", "body"), (1, 4, "heading", "Two"), (1, 5, "paragraph", "last")]
+
+
+def test_strict_texts(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("é\r\nb".encode())
+    assert files.strict_texts(spark, str(tmp_path / "a.md")).first().text == "é\nb"
+    with pytest.raises(Exception):
+        files.strict_texts(spark, str(tmp_path / "none.md")).collect()

@@ -183,6 +183,19 @@ def merged_mappings(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.select("scope", "tag", "label", "canonical", F.lit(None).cast("string").alias("old_tag")).unionByName(new)
 
 
+def merged_lookups(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """Two lookups (scope, key, value) as one: of equal keys the base's value stands."""
+    rows = base.select("scope", "key", "value", F.lit(0).alias("_side")).unionByName(extra.select("scope", "key", "value", F.lit(1).alias("_side")))
+    return rows.groupBy("scope", "key").agg(F.min(F.struct("_side", "value"))["value"].alias("value"))
+
+
+def merged_stats(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """Two counts (scope, label, n) as one, summed, with the scope's total."""
+    both = base.select("scope", "label", "n").unionByName(extra.select("scope", "label", "n")).groupBy("scope", "label").agg(F.sum("n").alias("n"))
+    total = both.groupBy("scope").agg(F.sum("n").alias("total"))
+    return both.join(total, "scope")
+
+
 def restored(docs: DataFrame, lookup: DataFrame, tolerant: bool = True) -> DataFrame:
     """doc_id, text with each key (doc_id, key, value) put back in one pass, longest key first, at word boundaries.
 

@@ -22,6 +22,23 @@ def distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(a1 < b0, b0 - a1).when(b1 < a0, a0 - b1).otherwise(F.lit(0.0))
 
 
+#: Parts that a recording's rows are spread over to meet the one row of their recording; buckets of an interval, at most.
+PARTS, MOST_BUCKETS = 32, 1_000_000
+
+
+def with_recording(rows: DataFrame, recordings: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to one row a recording; a recording's rows are spread by ``spread``, its row goes to every part."""
+    part = F.pmod(F.xxhash64(spread), F.lit(PARTS))
+    copies = recordings.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", part.cast("int")).join(copies, ["rec_id", "_part"], how).drop("_part")
+
+
+def _buckets(first: Column, last: Column) -> Column:
+    """The buckets of an interval; one wrong bound must not make billions of rows."""
+    sound = (last - first).between(0, MOST_BUCKETS)
+    return F.when(sound, F.sequence(first, last)).otherwise(F.raise_error(F.lit("an interval spans too many buckets of time")).cast("array<bigint>"))
+
+
 def _near_pairs(left: DataFrame, right: DataFrame, reach: float, bucket_s: float) -> DataFrame:
     """Pairs (l.*, r.*) of intervals of one recording that are at most ``reach`` apart, each pair once.
 
@@ -30,8 +47,8 @@ def _near_pairs(left: DataFrame, right: DataFrame, reach: float, bucket_s: float
     of = lambda c: F.floor(c / F.lit(bucket_s)).cast("long")
     slack = reach + 1e-6
     l_first, r_first = of(F.col("l0")), of(F.col("r0") - slack)
-    spread_l = left.withColumn("_lf", l_first).withColumn("_bucket", F.explode(F.sequence(l_first, of(F.col("l1")))))
-    spread_r = right.withColumn("_rf", r_first).withColumn("_bucket", F.explode(F.sequence(r_first, of(F.col("r1") + slack))))
+    spread_l = left.withColumn("_lf", l_first).withColumn("_bucket", F.explode(_buckets(l_first, of(F.col("l1")))))
+    spread_r = right.withColumn("_rf", r_first).withColumn("_bucket", F.explode(_buckets(r_first, of(F.col("r1") + slack))))
     return spread_l.join(spread_r, ["rec_id", "_bucket"]).where(F.col("_bucket") == F.greatest("_lf", "_rf")).drop("_bucket", "_lf", "_rf")
 
 
@@ -53,7 +70,8 @@ def attach_speakers(diar: DataFrame, asr: DataFrame, eps: float = 0.05, gap_tol:
     key = F.when(F.col("tier") <= 2, -common).otherwise(apart)
     best = pairs.groupBy("rec_id", "l_idx").agg(F.min(F.struct("tier", key.alias("key"), "r0", "r_idx", "speaker")).alias("best"))
     of_rec = right.groupBy("rec_id").agg(F.min("speaker").alias("_low"), F.max("speaker").alias("_high"), F.min(F.struct("r0", "r_idx", "speaker")).alias("_first"))
-    rows = left.select("rec_id", "l_idx").join(best, ["rec_id", "l_idx"], "left").join(of_rec, "rec_id", "left")
+    rows = left.select("rec_id", "l_idx").join(best, ["rec_id", "l_idx"], "left")
+    rows = with_recording(rows, of_rec, "l_idx", "left")
     none, single = F.col("_first").isNull(), F.col("_low") == F.col("_high")
     speaker = F.when(none, F.lit(0)).when(single, F.col("_low")).otherwise(F.coalesce("best.speaker", "_first.speaker")).cast("int")
     return rows.select("rec_id", F.col("l_idx").alias("seg_idx"), speaker.alias("speaker"), F.when(none | single, 0).otherwise(F.coalesce("best.tier", F.lit(4))).cast("int").alias("tier"))
@@ -112,7 +130,7 @@ def speech_runs(frames: DataFrame, min_silence_frames: int, min_speech_frames: i
     least = max(min_silence_frames, 1)
     length = frames.groupBy("rec_id").agg((F.max("frame_idx") + 1).alias("_length"))
     spoken = frames.where("speech").select("rec_id", F.col("frame_idx").cast("long").alias("start"), (F.col("frame_idx") + 1).cast("long").alias("end"))
-    found = merge_gaps(spoken, ["rec_id"], least - 1, block).join(length, "rec_id")
+    found = with_recording(merge_gaps(spoken, ["rec_id"], least - 1, block), length, "start")
     end = F.when(F.col("_length") - F.col("end") < least, F.col("_length")).otherwise(F.col("end"))
     return found.select("rec_id", "start", end.cast("long").alias("end")).where(F.col("end") - F.col("start") >= max(1, min_speech_frames))
 
@@ -132,7 +150,7 @@ def speech_segments(
     found = speech_runs(speech, frame_count(min_silence_ms), frame_count(min_speech_ms), block)
     seconds = found.select("rec_id", (F.col("start") * F.lit(sec_per_frame)).alias("start"), (F.col("end") * F.lit(sec_per_frame)).alias("end"))
     total = frames.groupBy("rec_id").agg(((F.max("frame_idx") + 1) * F.lit(sec_per_frame)).alias("_total"))
-    wide = padded(seconds.join(total, "rec_id"), pad_ms / 1000.0, F.col("_total")).drop("_total")
+    wide = padded(with_recording(seconds, total, "start"), pad_ms / 1000.0, F.col("_total")).drop("_total")
     merged = merge_gaps(wide, ["rec_id"], merge_gap_ms / 1000.0, block * sec_per_frame)
     return merged.where(F.col("end") - F.col("start") >= min_speech_ms / 1000.0).select("rec_id", "start", "end")
 

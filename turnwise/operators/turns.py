@@ -64,3 +64,19 @@ def srt_cues(segments: DataFrame) -> DataFrame:
     times = F.concat(srt_time(F.col("start")), F.lit(" --> "), srt_time(F.col("end")))
     numbered = cut.withColumn("_own", own).join(offsets, ["rec_id", "_block"])
     return numbered.select("rec_id", cue.alias("cue"), F.concat_ws("\n", cue, times, line, F.lit("")).alias("block"))
+
+
+def report_blocks(docs: DataFrame) -> DataFrame:
+    """A Markdown text's blocks: doc_id, block (from 1), kind, text.
+
+    A line that starts with ``### `` is a heading; neighbouring other lines are one paragraph, which blank lines end.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line")).withColumn("line", stripped(F.col("line")))
+    heading, blank = F.col("line").startswith("### "), F.col("line") == ""
+    at = Window.partitionBy("doc_id").orderBy("no")
+    starts = heading | (~blank & (F.coalesce(F.lag(heading | blank).over(at), F.lit(True))))
+    numbered = lines.withColumn("block", F.sum(F.when(starts, 1).otherwise(0)).over(at.rowsBetween(Window.unboundedPreceding, 0))).where(~blank)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), " ")
+    whole = numbered.groupBy("doc_id", "block").agg(said.alias("text"))
+    is_heading = F.col("text").startswith("### ")
+    return whole.select("doc_id", F.col("block").cast("int").alias("block"), F.when(is_heading, "heading").otherwise("paragraph").alias("kind"), F.when(is_heading, stripped(F.expr("substring(text, 5)"))).otherwise(F.col("text")).alias("text"))

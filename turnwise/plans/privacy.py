@@ -160,6 +160,19 @@ def merged_mappings(spark: SparkSession, sf_dir: str) -> Q:
     return entities.merged_mappings(side(0), side(1))
 
 
+def merged_stats(spark: SparkSession, sf_dir: str) -> Q:
+    rows = table(spark, sf_dir, "entity_catalog").select(F.lit(1).alias("scope"), F.coalesce(F.upper("entity_type"), F.lit("CAT")).alias("label"), "entry_no")
+    count = lambda rest: rows.where(F.pmod("entry_no", F.lit(2)) == rest).groupBy("scope", "label").agg(F.count(F.lit(1)).alias("n"))
+    return entities.merged_stats(count(0), count(1))
+
+
+def merged_lookups(spark: SparkSession, sf_dir: str) -> Q:
+    rows = table(spark, sf_dir, "entity_catalog").where(F.length(F.trim("pattern")) > 0)
+    key = F.lower(F.trim("pattern"))
+    side = lambda rest: rows.where(F.pmod("entry_no", F.lit(2)) == rest).groupBy(F.lit(1).alias("scope"), key.alias("key")).agg(F.min("entry_no").alias("value"))
+    return entities.merged_lookups(side(0), side(1))
+
+
 def entity_clusters(spark: SparkSession, sf_dir: str) -> Q:
     """Entities of whole recordings, from the spans of all segments."""
     entries = _catalog(spark, sf_dir)
@@ -241,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pii_counts, pii_values, pii_spans, catalog_hits, domain_hits, context_hits, model_spans, block_masks, swept_masks, catalog_types, pii_label_resolution, pseudonyms, pseudonym_forms, span_tags, entity_stats, tag_mapping, disjoint_spans, longest_spans,
-        merged_mappings, entity_clusters, anonymize_roundtrip, llm_gate, text_cleanup, normalized_texts, sentence_counts, chunk_pack, dedupe_runs, dialogue_correction,
+        merged_mappings, merged_stats, merged_lookups, entity_clusters, anonymize_roundtrip, llm_gate, text_cleanup, normalized_texts, sentence_counts, chunk_pack, dedupe_runs, dialogue_correction,
     )
 }
 
@@ -341,6 +354,8 @@ e AS (SELECT s.*, most, b.n IS NOT NULL AS taken FROM s JOIN m USING (label) LEF
 k AS (SELECT *, row_number() OVER (PARTITION BY label, taken ORDER BY n) AS again FROM e)
 SELECT 1 AS scope, '<' || label || '_' || n || '>' AS tag, label, canonical, NULL AS old_tag FROM s WHERE side = 0
 UNION ALL SELECT 1, '<' || label || '_' || (CASE WHEN taken THEN most + again ELSE n END) || '>', label, canonical, '<' || label || '_' || n || '>' FROM k""",
+    "merged_stats": "WITH s AS (SELECT coalesce(upper(entity_type), 'CAT') AS label, count(*) AS n FROM entity_catalog GROUP BY 1) SELECT 1 AS scope, label, n, CAST(sum(n) OVER () AS BIGINT) AS total FROM s",
+    "merged_lookups": "SELECT 1 AS scope, lower(trim(pattern)) AS key, arg_min(entry_no, (entry_no % 2, entry_no)) AS value FROM entity_catalog WHERE length(trim(pattern)) > 0 GROUP BY 2",
     "llm_gate": f"""WITH a AS (SELECT rec_id, seg_idx, 'SPEAKER_' || (seg_idx % 2) || ': ' || coalesce(min(text), '') AS told FROM asr_segments GROUP BY 1, 2),
 p AS (SELECT rec_id, seg_idx, told AS original, lead(told, 2) OVER (PARTITION BY rec_id ORDER BY seg_idx) AS corrected FROM a)
 SELECT rec_id, seg_idx, {_GATE_TAGS('original')} = {_GATE_TAGS('corrected')} AND {_WORDS('corrected')} >= {_WORDS('original')} * 0.5 AND {_WORDS('corrected')} <= {_WORDS('original')} * 1.5 AND NOT ({_OPENING})

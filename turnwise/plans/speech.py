@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.segments import bounded_segments, one_per_segment, speaker_number
 from turnwise.functions.text import speaker_index, srt_time, stripped, word_count
 from turnwise.operators import intervals, turns
-from turnwise.sources.files import manifests
+from turnwise.sources.files import manifests, segments_json
 from turnwise.sources.tables import table
 
 Q = DataFrame
@@ -19,7 +19,8 @@ def _seconds(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFra
     df = table(spark, sf_dir, name)
     speaker = F.col("speaker").cast("int") if name.startswith("diar") else speaker_number(F.col("speaker"))
     slim = df.select("rec_id", "seg_idx", F.col("start_s").alias("start"), F.col("end_s").alias("end"), speaker.alias("speaker"), *more, "arrived_at")
-    return one_per_segment(slim, ["start", "end", "speaker", *more]).where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    finite = (F.abs("start") < 9e14) & (F.abs("end") < 9e14)
+    return one_per_segment(slim, ["start", "end", "speaker", *more]).where(finite & ~F.isnan("start") & ~F.isnan("end"))
 
 
 def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +56,13 @@ def window_text(spark: SparkSession, sf_dir: str) -> Q:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as frame scores: each user's values in order of time."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), "ts", "event_id", F.col("value").alias("p"))
-    index = F.row_number().over(Window.partitionBy("rec_id").orderBy("ts", "event_id")) - 1
-    return events.select("rec_id", index.cast("long").alias("frame_idx"), "p")
+    """Events as frame scores: each user's values in order of time, numbered by days with the days' offsets."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), "ts", "event_id", F.col("value").alias("p"), F.to_date("ts").alias("day"))
+    sizes = events.groupBy("rec_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("rec_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("rec_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("rec_id", "day").orderBy("ts", "event_id")) - 1
+    return events.withColumn("own", own).join(offsets, ["rec_id", "day"]).select("rec_id", (F.col("offset") + F.col("own")).cast("long").alias("frame_idx"), "p")
 
 
 def vad_hysteresis(spark: SparkSession, sf_dir: str) -> Q:
@@ -105,11 +109,25 @@ def run_manifests(spark: SparkSession, sf_dir: str) -> Q:
     return manifests(table(spark, sf_dir, "recordings"))
 
 
+def segment_files(spark: SparkSession, sf_dir: str) -> Q:
+    """The segments of each recording as JSON, with the run's own audio, device and number of speakers."""
+    segments = _seconds(spark, sf_dir, "asr_segments", "text").where(F.col("speaker").isNotNull())
+    runs = table(spark, sf_dir, "recordings").where(F.col("rec_id").isNotNull())
+    latest = runs.groupBy("rec_id").agg(F.max(F.struct(F.coalesce("updated_at", "created_at"), "audio", "device", "n_speakers")).alias("r")).select("rec_id", "r.audio", "r.device", "r.n_speakers")
+    rows = segments_json(segments, latest)
+    return rows.select("rec_id", F.get_json_object("json", "$.n_speakers").cast("int").alias("n_speakers"), F.size(F.from_json("json", "segments array<struct<start:double,end:double,start_s:double,end_s:double>>")["segments"]).alias("n_segments"), F.get_json_object("json", "$.segments[0].start_s").cast("double").alias("first_start"))
+
+
+def report_blocks(spark: SparkSession, sf_dir: str) -> Q:
+    """Documents as a report's headings and paragraphs."""
+    return turns.report_blocks(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "(?m)^([A-Z][^\\n.]{2,40})$", "### $1").alias("text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dialogue_turns, dialogue_files, speaker_paragraphs, speaker_paragraphs_clean, attach_speakers, window_text, vad_hysteresis, vad_segments, gap_merge, srt_cues, srt_times, speaker_ids,
-        speaker_indices, text_counts, run_manifests,
+        speaker_indices, text_counts, run_manifests, segment_files, report_blocks,
     )
 }
 
@@ -189,6 +207,9 @@ SELECT rec_id, label, row_number() OVER (PARTITION BY rec_id ORDER BY f, label)
     "speaker_indices": """SELECT speaker, coalesce(TRY_CAST(nullif(trim(replace(replace(upper(speaker), 'SPEAKER_', ''), 'SPK', '')), '') AS INTEGER), 0) AS idx, count(*) AS n FROM asr_segments GROUP BY speaker""",
     "text_counts": f"""SELECT rec_id, CAST(sum(CASE WHEN {_STRIP("coalesce(text, '')")} = '' THEN 0 ELSE len(string_split_regex({_STRIP("coalesce(text, '')")}, '{_S}+')) END) AS BIGINT) AS n_words,
   CAST(sum(length({_STRIP("coalesce(text, '')")})) AS BIGINT) AS n_chars FROM asr_segments GROUP BY rec_id""",
+    "segment_files": f"""WITH {_ASR}, r AS (SELECT rec_id, arg_max(n_speakers, (coalesce(updated_at, created_at), audio, device, n_speakers)) AS k FROM recordings WHERE rec_id IS NOT NULL GROUP BY 1),
+n AS (SELECT rec_id, count(*) AS c, arg_min(s, (s, e, seg_idx)) AS f FROM asr WHERE speaker IS NOT NULL GROUP BY 1)
+SELECT n.rec_id, k AS n_speakers, CAST(c AS INTEGER) AS n_segments, f AS first_start FROM n LEFT JOIN r ON n.rec_id = r.rec_id""",
     "run_manifests": """WITH r AS (SELECT *, nullif(lower(trim(user_folder)), '') AS folder, nullif(lower(trim(device)), '') AS dev, nullif(lower(trim(lang)), '') AS lg, coalesce(updated_at, created_at) AS u FROM recordings WHERE rec_id IS NOT NULL),
 b AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY u DESC NULLS LAST, audio DESC NULLS LAST) AS k, min(created_at) OVER (PARTITION BY rec_id) AS c, count(*) OVER (PARTITION BY rec_id) AS n_runs FROM r)
 SELECT rec_id, 1 AS schema_version, CASE WHEN lower(trim(run_state)) = 'ready' THEN 'ready' ELSE 'failed' END AS status, audio,

@@ -100,11 +100,21 @@ def manifest_json(rows: DataFrame) -> DataFrame:
 
 
 def segments_json(segments: DataFrame, recordings: DataFrame) -> DataFrame:
-    """rec_id, json: {audio, device, n_speakers, segments} of each recording, segments in order."""
-    rows = F.array_sort(F.collect_list(F.struct("start", "end", "seg_idx", "speaker", "text")))
-    tidy = F.transform(rows, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["speaker"].alias("speaker"), x["text"].alias("text")))
-    by = segments.groupBy("rec_id").agg(tidy.alias("segments"), F.countDistinct("speaker").alias("n_speakers"))
-    return by.join(recordings.select("rec_id", "audio", "device"), "rec_id", "left").select("rec_id", F.to_json(F.struct("audio", "device", "n_speakers", "segments")).alias("json"))
+    """rec_id, json: {audio, device, n_speakers, segments} of each recording, segments in order.
+
+    ``n_speakers`` is the run's setting; ``start_s`` and ``end_s`` repeat the bounds where a segment has none of its own.
+    """
+    own = lambda c, of: (F.coalesce(c, of) if c in segments.columns else F.col(of)).alias(c)
+    rows = F.array_sort(F.collect_list(F.struct("start", "end", "seg_idx", "speaker", "text", own("start_s", "start"), own("end_s", "end"))))
+    tidy = F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "start_s", "end_s", "speaker", "text")]))
+    by = segments.groupBy("rec_id").agg(tidy.alias("segments"))
+    return by.join(recordings.select("rec_id", "audio", "device", "n_speakers"), "rec_id", "left").select("rec_id", F.to_json(F.struct("audio", "device", "n_speakers", "segments")).alias("json"))
+
+
+def strict_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of whole text files with line feeds only; a missing path is Spark's error, not an empty table."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n").alias("text"))
 
 
 def write_texts(texts: DataFrame, folder: str) -> None:

@@ -26,7 +26,7 @@ def ship(spark: SparkSession) -> None:
     if context.parallelize([0], 1).map(lambda _: importlib.util.find_spec("turnwise") is not None).first():
         return  # the workers find it already
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    # In the folder that all share; Spark itself serves the file where that folder is no path.
+    # In the folder that all share; where that is no path of this machine, the driver's own copy is served by Spark.
     shared = shared_folder(spark)
     folder = shared.removeprefix("file://") if shared.startswith(("file://", "/")) else tempfile.mkdtemp()
     os.makedirs(folder, exist_ok=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local tests) a folder of this machine
-    is made, once an application.
+    A cluster names it in ``spark.checkpoint.dir``; without it only a local session, whose executors are this process, gets
+    a folder of this machine, once an application and removed at its end.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or _own.get(spark.sparkContext.applicationId, "")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", "") or _own.get(context.applicationId, "")
     if not root:
-        root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="turnwise-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="turnwise-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = _own[context.applicationId] = "file://" + folder
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, used for one written table."""
-    return os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that this application has written to the shared folder; results not yet stored go with them."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
