@@ -130,7 +130,8 @@ def nearest_stream(rows: DataFrame, entity: list[str], tolerance_ms: int = TOLER
     keys = [f"k{i}" for i in range(len(entity))]
     spread = known.select(*[F.col(c).cast("long").alias(k) for c, k in zip(entity, keys)], F.explode(stretches).alias("stretch"), "is_left", "id", "at_ms")
     spread = spread.withColumn("bundle", F.floor(F.col("k0") / F.lit(BUNDLE)).cast("long"))
-    timed = spread.withColumn("ts", F.timestamp_millis(F.greatest(F.least(F.col("at_ms"), F.lit(END_MS)), F.lit(0)))).withWatermark("ts", f"{lateness_ms} milliseconds")
+    # Spark takes rows at the watermark itself, which starts at 0, as late: event time begins after it.
+    timed = spread.withColumn("ts", F.timestamp_millis(F.greatest(F.least(F.col("at_ms"), F.lit(END_MS)), F.lit(0)) + 1)).withWatermark("ts", f"{lateness_ms} milliseconds")
     out = "left_id bigint, right_id bigint, distance_ms bigint, " + ", ".join(f"{k} bigint" for k in keys)
     joined = timed.groupBy("bundle", "stretch").applyInPandasWithState(joiner(len(keys), tolerance_ms, lateness_ms), out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(entity)], "left_id", "right_id", "distance_ms")
