@@ -9,7 +9,7 @@ from turnwise.functions.segments import bounded_segments, one_per_segment, speak
 from turnwise.functions.text import speaker_index, srt_time, stripped, word_count
 from turnwise.operators import intervals, turns
 from turnwise.sources.files import manifests, segments_json
-from turnwise.sources.tables import table
+from turnwise.sources.tables import table, written
 
 Q = DataFrame
 
@@ -70,7 +70,7 @@ def vad_hysteresis(spark: SparkSession, sf_dir: str) -> Q:
 
 
 def vad_segments(spark: SparkSession, sf_dir: str) -> Q:
-    found = intervals.speech_segments(_frames(spark, sf_dir), 0.125, 55.0, 45.0, 250, 250, 125, 250, 64)
+    found = intervals.speech_segments(written(_frames(spark, sf_dir), "frames"), 0.125, 55.0, 45.0, 250, 250, 125, 250, 64)
     return found.select("rec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
