@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.pseudonyms import Pools, pseudonyms
 from turnwise.operators.entities import entity_clusters, restored
-from turnwise.operators.pii import best_labels, detected, disjoint_spans, entity_type, refined_type, spliced, usable
+from turnwise.operators.pii import detected, disjoint_spans, entity_type, refined_type, spliced, usable, with_best_label
 from turnwise.sources.tables import written
 
 # Words that are no persons, and, besides these, no entities.
@@ -48,8 +48,7 @@ def resolved(spans: DataFrame, entries: Iterable[tuple[str, str]] = ()) -> DataF
     own = F.col("_label").isNotNull()
     good = usable(typed, PERSONS, GENERIC, WHITELIST, own)
     refined = good.withColumn("entity_type", F.when(own & ~F.col("common"), entity_type(F.col("_label"))).otherwise(refined_type(F.col("surface"), F.col("entity_type"))))
-    one = refined.join(best_labels(refined), ["doc_id", "surface_lower"])
-    picked = disjoint_spans(one.select("doc_id", "start", "end", F.col("label").alias("entity_type"), "score", "source", "ord", "surface"))
+    picked = disjoint_spans(with_best_label(refined).select("doc_id", "start", "end", F.col("label").alias("entity_type"), "score", "source", "ord", "surface"))
     return picked.withColumnRenamed("entity_type", "label")
 
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.functions.similarity import partial_ratio, ratio, token_set_ratio, token_sort_ratio
+from turnwise.functions.similarity import reaches, token_set_ratio, token_sort_ratio
 
 _SPECIAL = str.maketrans({"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "ł": "l", "đ": "d", "Œ": "OE", "Æ": "AE", "Ø": "O"})
 
@@ -27,20 +29,114 @@ def plain(text: str) -> str:
 _PART = re.compile(r"[a-z0-9]+")
 
 
+@lru_cache(1 << 15)
 def keys(surface: str) -> tuple[str, str]:
     """What a surface is compared by: its runs of plain small letters and digits, joined and spaced."""
     parts = _PART.findall(plain(surface.lower()))
     return "".join(parts), " ".join(parts)
 
 
+@lru_cache(1 << 17)  # names and places are the same in most documents
 def close(a: tuple[str, str], b: tuple[str, str]) -> bool:
     """Whether two keys are one entity's: equal, alike by 92, or alike by 80 with one initial and nearly one length."""
     if not a[0] or not b[0]:
         return False
     if a[0] == b[0]:
         return True
-    best = max(ratio(a[0], b[0]), partial_ratio(a[0], b[0]), token_set_ratio(a[1], b[1]), token_sort_ratio(a[1], b[1]))
-    return best >= 92 or (best >= 80 and a[0][0] == b[0][0] and abs(len(a[0]) - len(b[0])) <= 3)
+    least = 80 if a[0][0] == b[0][0] and abs(len(a[0]) - len(b[0])) <= 3 else 92
+    if reaches(a[0], b[0], least):
+        return True
+    # Two single words: both token ratios are the plain one.
+    return (" " in a[1] or " " in b[1]) and (token_set_ratio(a[1], b[1]) >= least or token_sort_ratio(a[1], b[1]) >= least)
+
+
+#: Groups from which on ``Nearby`` looks before ``close``; below it would not pay. Letters and words of a key that it has columns for.
+MANY, LETTERS, WORDS = 48, 64, 8
+_CODES = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+_NONE = len(_CODES)
+
+
+class Nearby:
+    """The keys of many groups in columns, to tell at once all those that a key can be close to.
+
+    It only rules out what no ratio of ``close`` can reach: by the letters that two keys share, then by their longest
+    common subsequence (joined, and in the order of words), with the words they share; keys that repeat a word or don't fit
+    the columns are let through.
+    """
+
+    def __init__(self) -> None:
+        self.room = 256
+        self.words: dict[str, int] = {}
+        self.tables = {
+            "counts": np.zeros((_NONE - 1, self.room), np.int16), "joined": np.full((LETTERS, self.room), _NONE, np.uint8), "sorted": np.full((LETTERS, self.room), _NONE, np.uint8), "words": np.zeros((WORDS, self.room), np.int32),
+            "size": np.zeros((1, self.room), np.int32), "least": np.zeros((1, self.room), np.int32), "blanks": np.zeros((1, self.room), np.int32), "initial": np.zeros((1, self.room), np.uint8), "odd": np.zeros((1, self.room), bool),
+        }
+
+    def put(self, at: int, key: tuple[str, str]) -> None:
+        """Group ``at`` has ``key`` from now on."""
+        if at >= self.room:
+            self.tables = {k: np.concatenate([t, np.full_like(t, _NONE if k in ("joined", "sorted") else 0)], axis=1) for k, t in self.tables.items()}
+            self.room *= 2
+        joined, words = key[0], sorted(key[1].split())
+        ordered, blanks = " ".join(words), max(0, len(words) - 1)
+        t = self.tables
+        for table in ("counts", "words"):
+            t[table][:, at] = 0
+        for c in set(joined):
+            t["counts"][_CODES[c], at] = min(joined.count(c), 30_000)
+        for name, text in (("joined", joined), ("sorted", ordered)):
+            t[name][:, at] = [*[_CODES[c] for c in text[:LETTERS]], *[_NONE] * (LETTERS - len(text))]
+        for n, word in enumerate(words[:WORDS]):
+            t["words"][n, at] = self.words.setdefault(word, len(self.words) + 1)
+        t["size"][0, at], t["blanks"][0, at], t["initial"][0, at] = len(joined), blanks, _CODES[joined[0]] if joined else _NONE
+        t["least"][0, at] = min(len(joined), len(" ".join(set(words))))
+        t["odd"][0, at] = len(ordered) > LETTERS or len(words) > WORDS or len(set(words)) < len(words)
+
+    def able(self, key: tuple[str, str], lo: int, hi: int) -> list[int]:
+        """The groups from ``lo`` to ``hi`` that ``key`` may be close to, in order."""
+        joined, words = key[0], sorted(key[1].split())
+        if not joined:
+            return []
+        ordered, blanks = " ".join(words), len(words) - 1
+        t = self.tables
+        one = lambda name: t[name][0, lo:hi]
+        near = (one("initial") == _CODES[joined[0]]) & (np.abs(one("size") - len(joined)) <= 3)
+        least = np.where(near, 80, 92)
+        shared = np.minimum(one("blanks"), blanks)
+        for c in set(joined):
+            shared += np.minimum(t["counts"][_CODES[c], lo:hi], joined.count(c))
+        at = np.flatnonzero(shared * (200 - least) >= least * np.minimum(one("least"), min(len(joined), len(" ".join(set(words))))))
+        if len(ordered) > LETTERS or len(words) > WORDS or len(set(words)) < len(words) or not len(at):
+            return (at + lo).tolist()
+        shared, at, least = shared[at], at + lo, least[at]
+        size, several = t["size"][0, at], t["blanks"][0, at] + blanks
+        kept = t["odd"][0, at] | (self.common("joined", joined, at) * (200 - least) >= least * np.minimum(size, len(joined)))
+        some = np.flatnonzero((several > 0) & ~kept)
+        if len(some):
+            of, least, whole = at[some], least[some], size[some] + t["blanks"][0, at[some]]
+            both = np.full(len(some), -1)  # the length of the common words
+            for word in words:
+                if n := self.words.get(word):
+                    both += (t["words"][:, of] == n).any(axis=0) * (len(word) + 1)
+            # With common words a sequence is theirs and the others' at most; theirs alone is a part of each side.
+            word_set = (both > 0) & ((200 * shared[some] >= least * (whole + len(ordered))) | (200 * both >= least * (both + np.minimum(whole, len(ordered)))))
+            kept[some] = word_set | (200 * self.common("sorted", ordered, of) >= least * (whole + len(ordered)))
+        return at[kept].tolist()
+
+    def common(self, table: str, text: str, at: np.ndarray) -> np.ndarray:
+        """The length of the longest common subsequence of ``text`` and each of the groups ``at``, all columns of bits at once."""
+        places = np.zeros(_NONE + 1, np.uint64)
+        for i, c in enumerate(text):
+            places[_CODES[c]] |= np.uint64(1 << i)
+        longest = int((self.tables["size"][0, at] + self.tables["blanks"][0, at]).max())
+        rows = np.uint64((1 << len(text)) - 1)
+        state, total = np.full(len(at), rows), np.empty(len(at), np.uint64)
+        for hit in places[self.tables[table][: min(longest, LETTERS), at]]:
+            hit &= state
+            np.add(state, hit, out=total)
+            state ^= hit
+            state |= total
+        return len(text) - np.bitwise_count(state & rows).astype(np.int32)
 
 
 def presented(surface: str, label: str, domain: dict[str, str] | None = None) -> str:
@@ -100,25 +196,47 @@ def group_mentions(mentions: list[tuple[int, str, float, str]], label: str, doma
     canonical form since; only then are groups compared again.
     """
     groups: list[Group] = []
+    nearby: Nearby | None = None
     met: dict[tuple[str, str], tuple[int, int]] = {}
     changes = 0
+
+    def first_close(key: tuple[str, str]) -> int:
+        if nearby is None:
+            return next((i for i, g in enumerate(groups) if close(g.key, key)), -1)
+        lo, hi = 0, 512
+        while lo < len(groups):
+            for i in nearby.able(key, lo, min(hi, len(groups))):
+                if close(groups[i].key, key):
+                    return i
+            lo, hi = hi, 4 * hi
+        return -1
+
     for place, surface, score, source in mentions:
         key = keys(surface)
         known = met.get(key)
         if known and known[1] == changes:
             at = known[0]
         else:
-            at = next((i for i, g in enumerate(groups) if close(g.key, key)), -1)
+            at = first_close(key)
         if at < 0:
             shown = presented(surface, label, domain)
             groups.append(Group(shown, score, source, place, keys(shown), [surface]))
             at = len(groups) - 1
+            if nearby:
+                nearby.put(at, groups[at].key)
+            elif len(groups) >= MANY:
+                nearby = Nearby()
+                for i, g in enumerate(groups):
+                    nearby.put(i, g.key)
             if not close(groups[at].key, key):
                 continue
         else:
             before = groups[at].key
             groups[at].add(surface, score, source, label, domain)
-            changes += groups[at].key != before
+            if groups[at].key != before:
+                changes += 1
+                if nearby:
+                    nearby.put(at, groups[at].key)
         met[key] = at, changes
     return groups
 

@@ -33,6 +33,8 @@ FOLLOWING = frozenset("fragile fragiles durable durables maritime maritimes marc
 SPAN = "array<struct<start:int,end:int,entity_type:string,score:double,source:string,surface:string,near_speaker:boolean,common:boolean>>"
 FIELDS = ("start", "end", "entity_type", "score", "source")
 Scan = Callable[[str], Iterable[tuple[int, int, str, float, str]]]
+_HOLDS = {"EMAIL": 1, "PHONE": 2, "IBAN": 2, "SIREN_SIRET": 2}
+_TWO_DIGITS = re.compile(r"\d\d")
 _EDGE = " \"'«»“”‘’()[]{}<>"
 
 
@@ -74,8 +76,15 @@ def with_context(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def structured_scan(labels: Iterable[str] = ("EMAIL", "PHONE", "IBAN", "SIREN_SIRET")) -> Scan:
-    patterns = [(label, re.compile(STRUCTURED[label], re.I)) for label in labels]
-    return lambda text: [(*m.span(), label, 1.0, "regex") for label, p in patterns for m in p.finditer(text)]
+    """Matches of the patterns, in their order; texts without the sign or the two digits that each of a pattern's matches
+    holds are not searched for it."""
+    patterns = [(label, re.compile(STRUCTURED[label], re.I), _HOLDS.get(label, 0)) for label in labels]
+
+    def scan(text: str) -> list[tuple[int, int, str, float, str]]:
+        holds = True, "@" in text, _TWO_DIGITS.search(text) is not None
+        return [(*m.span(), label, 1.0, "regex") for label, p, needs in patterns if holds[needs] for m in p.finditer(text)]
+
+    return scan
 
 
 class CatalogScan:
@@ -108,7 +117,9 @@ class CatalogScan:
         return [(at, k) for k, at in sorted(found)]
 
     def __call__(self, text: str) -> list[tuple[int, int, str, float, str]]:
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        low = text.lower()
+        if len(low) != len(text) or "Σ" in text:  # letters of two small ones, and the one whose small form hangs on its place
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out, last, free = [], -1, 0
         for at, k in self.hits(low):
             pattern, label = self.entries[k]
@@ -249,6 +260,13 @@ def best_labels(spans: DataFrame) -> DataFrame:
     return best.select("doc_id", "surface_lower", F.col("_best.entity_type").alias("label"))
 
 
+def with_best_label(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``label`` as in ``best_labels``; spans are read once, and those without doc_id are left out."""
+    rank = F.struct(-type_priority(F.col("entity_type")), -F.col("score"), "ord", "entity_type")
+    best = F.min(rank).over(Window.partitionBy("doc_id", "surface_lower"))
+    return spans.where(F.col("doc_id").isNotNull()).withColumn("label", best["entity_type"])
+
+
 def _kept(replaces: Callable[[int, int], bool]):
     """The places of the spans that stay, for sorted arrays of starts and ends; one pass.
 
