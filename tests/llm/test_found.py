@@ -184,6 +184,23 @@ def test_canonical_turns(spark):
     assert [(r.first_seg_idx, r.last_seg_idx, r.speaker) for r in speaker_turns.speaker_turns(asr(spark, rows)).collect()] == [(3, 5, 1)]
 
 
+def test_turns_have_their_clean_text(spark):
+    """The cleaned words of each piece come out with its turn, in order; across blocks too, and from the row that p5_found takes."""
+    rows = [
+        (1, 1, 0.0, 1.0, "[00:01] euh, bonjour   à tous", "S0"), (1, 2, 1.0, 2.0, "...oui [SPK2]: non [rires] (je note) <t=3.0>", "S0"), (1, 3, 2.0, 3.0, "- encore euh  (rires) une fois", "SPEAKER_02"),
+        (1, 4, 3.0, 4.0, "hum [bruit]", "S0"), (1, 5, 700.0, 701.0, "après\tla pause", "2"), (1, 6, 702.0, 703.0, "merci", "Marie"), (1, 6, 702.0, 703.0, "merci", "Marie"), (1, 7, 703.0, 704.0, None, "Marie"),
+    ]
+    got = sorted((r.first_seg_idx, r.last_seg_idx, r.canonical, r.n_pieces, r.text) for r in speaker_turns.canonical_turns(asr(spark, rows)).collect())
+    assert got == [(1, 2, "0", 2, "bonjour à tous oui"), (2, 5, "2", 3, "non (je note) encore une fois après la pause"), (6, 6, "marie", 1, "merci")]
+
+
+def test_turns_of_numbers_are_those_with_texts(spark, small):
+    found = {tuple(r) for r in entry.queries()["p5_found"](spark, small).collect()}
+    turns = entry.queries()["p5_turns"](spark, small).where(F.col("canonical").rlike("^[0-9]+$"))
+    assert turns.where(~F.col("text").rlike(r"[\p{L}\p{N}]")).count() == 0
+    assert {(r.rec_id, int(r.canonical), r.first_seg_idx, r.last_seg_idx) for r in turns.collect()} == found
+
+
 CATALOG = [("Zoé Marvalgier", "PERSON"), ("Victor", "PER"), (" rose marvalgier ", None), ("Pyxilis", "ORG"), (None, "PERSON"), ("Ostrerinel", "LOC")]
 CASES = {
     "Envoyez le dossier à zoe.marvalgier@pyxilis.test svp": {"EMAIL"}, "zoe point x arobase pyxilis point test pour la copie": {"EMAIL"}, "write to me at zoe at pyxilis dot test": {"EMAIL"}, "La touche @ du clavier est coincée": set(),

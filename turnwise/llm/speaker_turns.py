@@ -3,7 +3,7 @@
 Labels inside a text are normalized and cut the text into pieces; time stamps, notes of sounds and hesitations are
 stripped.  The label variants of each transcript are clustered by their initials and string similarity with
 union-find (a label's number decides: equal numbers always meet, different ones never), pieces go under the canonical
-speaker, and runs of one speaker collapse into turns.
+speaker, and runs of one speaker collapse into turns, which carry their clean text where it is asked for.
 
 Defined results: null and blank texts give no piece; pieces without a spoken word or of unknown speaker are left out and
 do not interrupt; segments without recording, number or bound take no part; rows delivered twice count once; equal
@@ -54,12 +54,16 @@ def pieces_of(text: Column, label: Column) -> Column:
     )
 
 
-def cleaned(said: Column) -> Column:
-    """A piece's spoken words: without stamps, notes of sounds and hesitations."""
+def spoken(said: Column) -> Column:
+    """A piece without stamps, notes of sounds and hesitations: what decides whether a word is left."""
     text = F.regexp_replace(said, STAMP, " ")
     text = F.regexp_replace(text, NOTE, " ")
-    text = F.regexp_replace(text, HESITATION, " ")
-    text = F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.regexp_replace(text, HESITATION, " ")
+
+
+def cleaned(said: Column) -> Column:
+    """A piece's spoken words as they are shown: single blanks, no punctuation before the first word."""
+    text = F.regexp_replace(spoken(said), r"(?U)\s+", " ")
     return F.trim(F.regexp_replace(text, r"^[\s,.;:!?…-]+", ""))
 
 
@@ -128,28 +132,38 @@ def label_clusters(labels: DataFrame) -> DataFrame:
     return spread.groupBy("rec_id").applyInPandas(_canonical, "rec_id bigint, label string, speaker int, name string")
 
 
-def spoken_pieces(segments: DataFrame) -> DataFrame:
-    """Pieces with a spoken word: rec_id, seg_idx, start_ms, end_ms, place, label.
+def spoken_pieces(segments: DataFrame, texts: bool = False) -> DataFrame:
+    """Pieces with a spoken word: rec_id, seg_idx, start_ms, end_ms, place, label, and with ``texts`` their clean text, said.
 
-    Texts are cut and judged where they are read; only places and labels are shuffled.
+    Texts are cut and judged where they are read; without ``texts`` only places and labels are shuffled, and no text is
+    made that nothing reads.
     """
     cut = pieces_of(F.col("text"), F.lower(F.trim("speaker")))
-    spoken = F.transform(F.filter(cut, lambda p: cleaned(p["said"]).rlike(r"[\p{L}\p{N}]")), lambda p: F.struct(p["place"].alias("place"), p["label"].alias("label")))
-    judged = segments.withColumn("_pieces", F.when(F.col("text").rlike(r"[\p{L}\p{N}]"), spoken))
-    whole = bounded_segments(judged, keep=("_pieces",))
-    return whole.select("rec_id", "seg_idx", "start_ms", "end_ms", F.inline("_pieces"))
-
-
-def placed_pieces(segments: DataFrame) -> DataFrame:
+    word = r"[\p{L}\p{N}]"
+    shown = F.transform(cut, lambda p: F.struct(p["place"].alias("place"), p["label"].alias("label"), cleaned(p["said"]).alias("said")))
+    kept = F.filter(shown, lambda p: p["said"].rlike(word)) if texts else F.filter(cut, lambda p: spoken(p["said"]).rlike(word))
+    judged = segments.withColumn("_kept", F.when(F.col("text").rlike(word), kept))
+    # The texts stand beside the pieces: of rows delivered twice the same one is taken with and without them.
+    judged = judged.withColumn("_pieces", F.transform("_kept", lambda p: F.struct(p["place"].alias("place"), p["label"].alias("label"))))
+    keep = ("_pieces", "_said") if texts else ("_pieces",)
+    whole = bounded_segments(judged.withColumn("_said", F.col("_kept.said")), keep=keep)
+    if not texts:
+        return whole.select("rec_id", "seg_idx", "start_ms", "end_ms", F.inline("_pieces"))
+    both = F.zip_with("_pieces", "_said", lambda p, t: F.struct(p["place"].alias("place"), p["label"].alias("label"), t.alias("said")))
+    return whole.select("rec_id", "seg_idx", "start_ms", "end_ms", F.inline(both))
+
+
+def placed_pieces(segments: DataFrame, texts: bool = False) -> DataFrame:
     """Spoken pieces under their canonical speakers; pieces and clusters are made once and written."""
-    pieces = written(spoken_pieces(segments), "pieces")
+    pieces = written(spoken_pieces(segments, texts), "pieces")
     return pieces.join(written(label_clusters(pieces), "speakers"), ["rec_id", "label"])
 
 
-def _turns(placed: DataFrame, value: str, block_ms: int) -> DataFrame:
-    turns = runs(placed.where(F.col(value).isNotNull()), ["rec_id"], value, ["start_ms", "end_ms", "seg_idx", "place"], block_ms)
+def _turns(placed: DataFrame, value: str, block_ms: int, text: str | None = None) -> DataFrame:
+    turns = runs(placed.where(F.col(value).isNotNull()), ["rec_id"], value, ["start_ms", "end_ms", "seg_idx", "place"], block_ms, text)
+    said = [F.array_join("texts", " ").alias("text")] if text else []
     return turns.select(
-        "rec_id", value, F.col("first.seg_idx").alias("first_seg_idx"), F.col("last.seg_idx").alias("last_seg_idx"), F.col("n").alias("n_pieces"), F.col("first.start_ms").alias("start_ms"), F.col("until").alias("end_ms")
+        "rec_id", value, F.col("first.seg_idx").alias("first_seg_idx"), F.col("last.seg_idx").alias("last_seg_idx"), F.col("n").alias("n_pieces"), F.col("first.start_ms").alias("start_ms"), F.col("until").alias("end_ms"), *said
     )
 
 
@@ -159,9 +173,10 @@ def speaker_turns(segments: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
 
 
 def canonical_turns(segments: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
-    """Turns of numbered speakers and of those that only have a name: rec_id, canonical, and as ``speaker_turns``.
+    """Turns of numbered speakers and of those that only have a name, with their clean text: rec_id, canonical, as
+    ``speaker_turns``, and text.
 
     A numbered speaker's canonical label is the number, another's the first label of its cluster.
     """
-    placed = placed_pieces(segments)
-    return _turns(placed.withColumn("canonical", F.coalesce(F.col("speaker").cast("string"), F.col("name"))), "canonical", block_ms)
+    placed = placed_pieces(segments, texts=True)
+    return _turns(placed.withColumn("canonical", F.coalesce(F.col("speaker").cast("string"), F.col("name"))), "canonical", block_ms, "said")
